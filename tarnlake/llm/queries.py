@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, packing, token_files
+from . import bpe, langid, packing, quality, token_files
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -21,9 +21,17 @@ def op3_token_files(spark, sf_dir):
     return token_files.token_file_round_trip(_table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
 
+def op5_langid(spark, sf_dir):
+    return langid.identify_languages(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark, sf_dir):
+    return quality.quality_verdicts(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER, window=1024, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_token_files, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_token_files, op5_langid, op7_quality, op8_packing)}
 ORACLE_SQL: dict[str, str] = {}
