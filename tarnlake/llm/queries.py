@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, langid, packing, quality, token_files
+from . import bpe, langid, packing, quality, secret_scan, token_files, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -25,6 +25,10 @@ def op5_langid(spark, sf_dir):
     return langid.identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark, sf_dir):
+    return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark, sf_dir):
     return quality.quality_verdicts(_table(spark, sf_dir, "documents"))
 
@@ -33,5 +37,9 @@ def op8_packing(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER, window=1024, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_token_files, op5_langid, op7_quality, op8_packing)}
+def op10_warc(spark, sf_dir):
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_token_files, op5_langid, op6_secrets, op7_quality, op8_packing, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
