@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, langid, packing, quality, secret_scan, token_files, warc
+from pyspark.sql import functions as F
+
+from . import bpe, kneser_ney, langid, packing, quality, secret_scan, token_files, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -37,9 +39,14 @@ def op8_packing(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER, window=1024, end_id=0)
 
 
+def op9_kneser_ney(spark, sf_dir):
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 7 == 2
+    return kneser_ney.score_documents(_table(spark, sf_dir, "documents"), held_out)
+
+
 def op10_warc(spark, sf_dir):
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_token_files, op5_langid, op6_secrets, op7_quality, op8_packing, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_token_files, op5_langid, op6_secrets, op7_quality, op8_packing, op9_kneser_ney, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
