@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bpe, kneser_ney, langid, packing, quality, secret_scan, token_files, warc
+from . import bpe, embed_dedup, kneser_ney, langid, packing, quality, secret_scan, token_files, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -23,6 +23,10 @@ def op3_token_files(spark, sf_dir):
     return token_files.token_file_round_trip(_table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
 
+def op4_embeddings(spark, sf_dir):
+    return embed_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op5_langid(spark, sf_dir):
     return langid.identify_languages(_table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_warc(spark, sf_dir):
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_token_files, op5_langid, op6_secrets, op7_quality, op8_packing, op9_kneser_ney, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_token_files, op4_embeddings, op5_langid, op6_secrets, op7_quality, op8_packing, op9_kneser_ney, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
