@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, kneser_ney, langid, packing, quality, secret_scan, token_files, warc
+from . import bpe, embed_dedup, jaccard, kneser_ney, langid, packing, quality, secret_scan, token_files, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -19,6 +19,10 @@ def op1_bpe(spark, sf_dir):
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op2_jaccard(spark, sf_dir):
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark, sf_dir):
     return token_files.token_file_round_trip(_table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
@@ -52,5 +56,5 @@ def op10_warc(spark, sf_dir):
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_token_files, op4_embeddings, op5_langid, op6_secrets, op7_quality, op8_packing, op9_kneser_ney, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_jaccard, op3_token_files, op4_embeddings, op5_langid, op6_secrets, op7_quality, op8_packing, op9_kneser_ney, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
