@@ -1,4 +1,4 @@
-"""Making this package importable on the workers of a session."""
+"""Session helpers: shipping the package to workers and cutting lineage in the shared folder."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -25,3 +25,16 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(at))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint of df in spark.checkpoint.dir; only a local session may go without that setting."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if at is None:
+            if not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            at = tempfile.mkdtemp(prefix="tarnlake-checkpoint-")
+        context.setCheckpointDir(at)
+    return df.checkpoint(eager=True)
