@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that a kernel works on at once (a longer document is a chunk of its own).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = (2 << 20) - 64
 
 # Separators of words.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -27,7 +27,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 def _powers(n: int) -> list[np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64, at least n of each."""
     if len(_POWERS[0]) < n:
-        size = 1 << int(n).bit_length()
+        size = 1 << int(n - 1).bit_length()
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             x = np.full(size, base, U64)
             x[0] = 1
