@@ -107,12 +107,14 @@ def read_archive(uri: str, name: str) -> Iterator[tuple[dict[str, str], bytes]]:
             yield parse_record(b"".join(parts))
 
 
-def mark_revisits(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
+def mark_revisits(df: DataFrame, stash: Stash, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """key, url, payload and refers_to (null for responses). Payloads are told apart by SHA-1 and length."""
     rows = df.select(F.col(id_col).alias("key"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("same", F.concat_ws(":", F.sha1("payload"), F.length("payload")))
-    # Only ids and digests are compared; partial maxima come before the shuffle.
+    # Only ids and digests are compared; partial maxima come before the shuffle. Payloads are shuffled at most once, and not at all
+    # while the table of repeated payloads is small enough to be broadcast.
     last = rows.where(F.length("payload") >= least_bytes).groupBy("same").agg(F.max("key").alias("last"), F.count("*").alias("n")).where("n > 1").select("same", "last")
+    last = stash.save(last, "last")
     return rows.join(last, "same", "left").select("key", "url", "payload", F.when(F.col("last") != F.col("key"), F.col("last")).alias("refers_to"))
 
 
@@ -156,9 +158,8 @@ def archive_round_trip(df: DataFrame, id_col: str = "page_id", url_col: str = "u
                 yield _batch(out)
 
     n_files = partitions(spark)
-    # Records are dealt by a hash that copies of one page don't share, so that no file gets a large group.
-    dealt = mark_revisits(df, id_col, url_col, html_col, least_bytes).repartition(n_files, F.xxhash64("key", "url"))
-    manifest = stash.save(dealt.mapInArrow(write, "file string, n long"), "manifest")
+    marked = mark_revisits(df, stash, id_col, url_col, html_col, least_bytes)
+    manifest = stash.save(marked.mapInArrow(write, "file string, n long"), "manifest")
     back = manifest.repartitionByRange(n_files, "file").mapInArrow(read, "key string, payload_bytes long, payload_digest string, record_type string, refers_to string")
     return back.select(F.col("key").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
