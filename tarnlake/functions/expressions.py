@@ -60,6 +60,13 @@ def total(columns: list[Column]) -> Column:
     return out
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation over rows that have both; null where one of them is constant."""
+    a = F.when(col(y).isNotNull(), col(x).cast("double"))
+    b = F.when(col(x).isNotNull(), col(y).cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 Columns = list[str | Column]
 
 

@@ -13,7 +13,7 @@ SQRT2, SQRT2PI = math.sqrt(2), math.sqrt(2 * math.pi)
 
 
 def normal_cdf(x: Column) -> Column:
-    """By the integral's rational approximation (absolute error below 1.5e-7 is too much here), so: a series and a fraction, both fixed."""
+    """By erf's series near zero and erfc's continued fraction beyond, both of fixed length."""
     z = F.abs(x) / F.lit(SQRT2)
     # erf by its Maclaurin series for small arguments, erfc by a continued fraction beyond.
     series = F.lit(0.0)

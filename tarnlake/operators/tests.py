@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special as sp
-from ..functions.expressions import clean
+from ..functions.expressions import clean, correlation
 from .kernels import average_ranks, pick_sorted, value_ranks
 
 SIDES = ("two-sided", "less", "greater")
@@ -154,14 +154,14 @@ def _correlation(r: float | None, n: int, alternative: str, level: float) -> dic
 
 def pearson_correlation(df: DataFrame, x: str, y: str, alternative: str = "two-sided", level: float = 0.95) -> dict:
     rows = df.select(clean(x).alias("x"), clean(y).alias("y")).where("x is not null and y is not null")
-    got = rows.agg(F.corr("x", "y").alias("r"), F.count("*").alias("n")).first()
+    got = rows.agg(correlation("x", "y").alias("r"), F.count("*").alias("n")).first()
     return _correlation(got["r"], got["n"], alternative, level)
 
 
 def spearman_correlation(df: DataFrame, x: str, y: str, alternative: str = "two-sided", level: float = 0.95) -> dict:
     rows = df.select(clean(x).alias("x"), clean(y).alias("y")).where("x is not null and y is not null")
     ranked = average_ranks(average_ranks(rows, "x", "rx"), "y", "ry")
-    got = ranked.agg(F.corr("rx", "ry").alias("r"), F.count("*").alias("n")).first()
+    got = ranked.agg(correlation("rx", "ry").alias("r"), F.count("*").alias("n")).first()
     return _correlation(got["r"], got["n"], alternative, level)
 
 

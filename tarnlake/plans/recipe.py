@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import clean, is_missing
+from ..functions.expressions import clean, correlation, is_missing
 from ..operators import impute, ordination, outliers, prepare, splits
 from ..operators.kernels import pick_sorted
 
@@ -201,7 +201,7 @@ class Recipe:
 
         def fit(df, x):
             pairs = [(a, b) for i, a in enumerate(x) for b in x[i + 1 :]]
-            row = df.agg(*(F.corr(F.when(clean(b).isNotNull(), clean(a)), F.when(clean(a).isNotNull(), clean(b))) for a, b in pairs)).first() if pairs else []
+            row = df.agg(*(correlation(clean(a), clean(b)) for a, b in pairs)).first() if pairs else []
             gone: set[str] = set()
             for (a, b), r in zip(pairs, row, strict=True):
                 if a not in gone and b not in gone and r is not None and abs(r) > threshold:
