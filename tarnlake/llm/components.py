@@ -13,12 +13,11 @@ def min_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest node of each node's component, for nodes 0 .. n-1 and edges a-b within one task."""
     label = np.arange(n)
     while len(a):
-        low = np.minimum(label[a], label[b])
-        old = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        np.minimum.at(label, old[a], low)
-        np.minimum.at(label, old[b], low)
+        # Only roots are moved: a node that left its tree alone would lose the ties of the rest.
+        ra, rb = label[a], label[b]
+        low = np.minimum(ra, rb)
+        np.minimum.at(label, ra, low)
+        np.minimum.at(label, rb, low)
         while (label[label] != label).any():
             label = label[label]
         open_ = label[a] != label[b]
