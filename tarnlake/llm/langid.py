@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import textkern as tk
 from .common import Stash, small_batches
 
-#: Slots of a language's table, lengths of n-grams, bytes of a word that are looked at on either end of a long word.
+#: Slots of a language's table, lengths of n-grams, bytes of the parts that longer words are taken in.
 TABLE_BITS, GRAMS, WORD_BYTES = 16, (1, 2, 3, 4), 32
 #: Labelled rows that a model is fitted on at most (about; rows are chosen by hash).
 FIT_ROWS = 20_000
@@ -55,18 +55,17 @@ def word_scripts(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 
 def gram_slots(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Slots of the words' n-grams, and the number of each one's word. A word is lower-cased and stands between blanks; of a word
-    beyond WORD_BYTES bytes the first and last halves of that count (names of files and the like, not language)."""
-    length = e - s
-    keep = np.minimum(length, WORD_BYTES)
+    """Slots of the words' n-grams, and the number of each one's word. A word is lower-cased and stands between blanks; words beyond
+    WORD_BYTES bytes (scripts without blanks, names of files) are taken in parts of that size, all of them."""
+    parts = np.maximum(1, -(-(e - s) // WORD_BYTES))
+    parent = np.repeat(np.arange(len(s)), parts)
+    s = s[parent] + WORD_BYTES * tk.repeat_index(np.zeros(len(parts), np.int64), parts)
+    keep = np.minimum(s + WORD_BYTES, e[parent]) - s
     width = int(keep.max(initial=0)) + 2
     grid = np.full((len(s), width), 0x20, np.uint64)
-    col = np.arange(width - 2)
-    half = WORD_BYTES // 2
-    for k in col:
+    for k in range(width - 2):
         who = np.flatnonzero(keep > k)
-        at = np.where((length[who] > WORD_BYTES) & (k >= half), e[who] - WORD_BYTES + k, s[who] + k)
-        grid[who, k + 1] = tk.LOWER[buf[at]]
+        grid[who, k + 1] = tk.LOWER[buf[s[who] + k]]
     for n in GRAMS:
         if width < n:
             continue
@@ -74,7 +73,7 @@ def gram_slots(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> Iterator[tuple[
         for k in range(n):
             h = h * np.uint64(0xC6A4A7935BD1E995) + grid[:, k : width - n + 1 + k]
         row, place = np.nonzero(np.arange(width - n + 1) <= (keep + 2 - n)[:, None])
-        yield (tk.mix(h[row, place]) & _SLOT).astype(np.int64), row
+        yield (tk.mix(h[row, place]) & _SLOT).astype(np.int64), parent[row]
 
 
 def _distinct(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,9 +122,9 @@ class LanguageModel:
 
     def __init__(self, tables: dict[str, np.ndarray]):
         self.names = sorted(tables)
-        grams = np.array([tables[k][: 1 << TABLE_BITS] for k in self.names], float).reshape(len(self.names), -1) + 0.5
+        grams = np.array([tables[k][: 1 << TABLE_BITS] for k in self.names], float).reshape(len(self.names), 1 << TABLE_BITS) + 0.5
         self.score = np.log(grams / grams.sum(1, keepdims=True)).T.astype(np.float32).copy()
-        scripts = np.array([tables[k][1 << TABLE_BITS :] for k in self.names], float).reshape(len(self.names), -1)
+        scripts = np.array([tables[k][1 << TABLE_BITS :] for k in self.names], float).reshape(len(self.names), N_SCRIPTS)
         self.uses = (scripts / np.maximum(1, scripts.sum(1, keepdims=True)) >= OWN_SCRIPT).T.copy()
         self.uses[~self.uses.any(1)] = True  # a script that no language has: all stay
 
@@ -190,19 +189,23 @@ def _predict(model, switch: float, spans: bool):
         m: LanguageModel = model.value
         k = len(m.names)
         for batch in batches:
+            if not k:  # nothing was learned
+                columns = [batch.column("key"), pa.array(["und"] * batch.num_rows, pa.string()), pa.array(np.zeros(batch.num_rows)), pa.array([[]] * batch.num_rows, SPAN_TYPE)]
+                yield pa.RecordBatch.from_arrays(columns[: 3 + spans], ["key", "lang_pred", "score", "spans"][: 3 + spans])
+                continue
             for rows, buf, off in tk.text_chunks(batch, "text"):
                 part = batch.slice(rows.start, rows.stop - rows.start)
                 n = rows.stop - rows.start
                 s, e, script, first, label = label_words(m, buf, off, switch)
                 doc = np.repeat(np.arange(n), np.diff(first))
                 weight = np.where(script > 0, e - s, 0)
-                share = np.bincount(doc * k + label, weights=weight, minlength=n * k).reshape(n, k) if k else np.zeros((n, 1))
+                share = np.bincount(doc * k + label, weights=weight, minlength=n * k).reshape(n, k)
                 total = share.sum(1)
                 top = share.argmax(1)
-                names, score = [m.names[i] if k else None for i in top], np.where(total > 0, share[np.arange(n), top] / np.maximum(1, total), 0.0)
-                for i in np.flatnonzero(total == 0) if k else range(n):
+                names, score = [m.names[i] for i in top], np.where(total > 0, share[np.arange(n), top] / np.maximum(1, total), 0.0)
+                for i in np.flatnonzero(total == 0):
                     text = buf[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace")
-                    names[i], score[i] = (m.names[0] if k and any(c.isalpha() for c in text) else "und"), 0.0
+                    names[i], score[i] = (m.names[0] if any(c.isalpha() for c in text) else "und"), 0.0
                 columns = [part.column("key"), pa.array(names, pa.string()), pa.array(score)]
                 if spans:
                     columns.append(pa.array([_spans_of(m, s, e, label, buf, off[i], a, b) for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True))], SPAN_TYPE))
