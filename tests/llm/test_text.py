@@ -374,8 +374,10 @@ def test_empty_tables(spark, empty):
 def test_null_ids_and_repeats(spark):
     rows = [(None, "some words that are here", "en", "s"), (1, "some words that are here", "en", "s"), (1, "some words that are here", "en", "s"), (2, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    for made in (bpe.round_trip_digests(df, TOKENIZER), jaccard.jaccard_components(df), token_files.token_file_round_trip(df, TOKENIZER), langid.identify_languages(df), secret_scan.scan_secrets(df), quality.quality_verdicts(df), packing.pack_documents(df, TOKENIZER), kneser_ney.score_documents(df, F.lit(False))):
+    for made in (bpe.round_trip_digests(df, TOKENIZER), jaccard.jaccard_components(df), token_files.token_file_round_trip(df, TOKENIZER), langid.identify_languages(df), secret_scan.scan_secrets(df), quality.quality_verdicts(df), kneser_ney.score_documents(df, F.lit(False))):
         assert made.count() == 4
+    whole = packing.pack_documents(df, TOKENIZER).agg(F.sum("length"), F.sum(F.when(F.col("start") == 0, F.col("doc_tokens")))).first()
+    assert whole[0] == whole[1] and whole[0] > 4
     pages = spark.createDataFrame([(None, "u", "x"), (5, "u", "x"), (5, "u", "x"), (None, None, None)], "page_id long, url string, html string")
     assert warc.archive_round_trip(pages).count() == 4
     vectors = spark.createDataFrame([(None, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0])], "vec_id long, embedding array<double>")
