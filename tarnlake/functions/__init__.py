@@ -1 +1 @@
-
+"""Scalar functions, distributions and formulas."""

@@ -1 +1 @@
-
+"""Statistics, models and data preparation on DataFrames."""

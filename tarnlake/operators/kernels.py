@@ -61,25 +61,36 @@ def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.linalg.lstsq(a, b, rcond=None)[0]
 
 
-def running_totals(df: DataFrame, order: list[Column], sums: dict[str, str | Column], n: int | None = None) -> DataFrame:
-    """df with running totals (this row included) of sums in the given order, over all rows, and no task that sees all rows:
-    rows are range-partitioned by the order, totals of whole partitions are added to the totals within each. Rows should have
-    distinct order values; equal ones stand next to each other in no fixed order."""
+def running(df: DataFrame, order: list[Column], values: dict[str, tuple[str | Column, str]], n: int | None = None) -> DataFrame:
+    """df with running sums, maxima or minima (this row included) of values in the given order, over all rows, and no task that sees
+    all rows: rows are range-partitioned by the order, and results of whole partitions are added to those within each. Rows
+    should have distinct order values; equal ones stand next to each other in no fixed order."""
     parts = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    dealt = cut(df.withColumns({f"__{k}": col(v) if isinstance(v, str) else v for k, v in sums.items()}).repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()))
-    totals = dealt.groupBy("__part").agg(*(F.sum(f"__{k}").alias(k) for k in sums)).orderBy("__part").collect()
-    before: dict[str, list] = {k: [] for k in sums}
-    acc = dict.fromkeys(sums, 0)
-    for r in totals:
-        for k in sums:
-            before[k] += [F.lit(r["__part"]), F.lit(acc[k])]
-            acc[k] += r[k] or 0
+    made = {"sum": F.sum, "max": F.max, "min": F.min}
+    new = {f"__{k}": col(v) if isinstance(v, str) else v for k, (v, _) in values.items()}
+    dealt = cut(df.withColumns(new).repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()))
+    whole = dealt.groupBy("__part").agg(*(made[kind](f"__{k}").alias(k) for k, (_, kind) in values.items())).orderBy("__part").collect()
+    join = {"sum": lambda a, b: a + b, "max": max, "min": min}
     w = Window.partitionBy("__part").orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
     out = dealt
-    for k in sums:
-        start = F.coalesce(F.create_map(*before[k])[F.col("__part")], F.lit(0)) if before[k] else F.lit(0)
-        out = out.withColumn(k, F.sum(f"__{k}").over(w) + start)
-    return out.drop("__part", "__row", *(f"__{k}" for k in sums))
+    for k, (_, kind) in values.items():
+        before, acc = [], 0 if kind == "sum" else None
+        for r in whole:
+            if acc is not None:
+                before += [F.lit(r["__part"]), F.lit(acc)]
+            if r[k] is not None:
+                acc = r[k] if acc is None else join[kind](acc, r[k])
+        own = made[kind](f"__{k}").over(w)
+        start = F.create_map(*before)[F.col("__part")] if before else None
+        if start is not None:
+            own = own + F.coalesce(start, F.lit(0)) if kind == "sum" else (F.greatest if kind == "max" else F.least)(own, start)
+        out = out.withColumn(k, own)
+    return out.drop("__part", "__row", *new)
+
+
+def running_totals(df: DataFrame, order: list[Column], sums: dict[str, str | Column], n: int | None = None) -> DataFrame:
+    """running() of sums."""
+    return running(df, order, {k: (v, "sum") for k, v in sums.items()}, n)
 
 
 def positions(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:

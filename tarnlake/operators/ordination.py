@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import total
 from ..sources.persistence import Saveable
-from .kernels import covariance, gram, solve
+from .kernels import covariance, solve
 from .linalg import project
 
 
@@ -233,6 +233,3 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
     out = np.divide(c, np.outer(s, s), out=np.zeros_like(c), where=np.outer(s, s) > 0)
     np.fill_diagonal(out, 1.0)
     return out
-
-
-__all__ = ["CCA", "LDA", "PCA", "RDA", "correlation_matrix", "gram"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special as sp
 from ..functions.expressions import clean, correlation
-from .kernels import average_ranks, pick_sorted, value_ranks
+from .kernels import average_ranks, positions, running, value_ranks
 
 SIDES = ("two-sided", "less", "greater")
 
@@ -202,43 +202,31 @@ def omega_squared(anova: dict) -> float:
     return (anova["ss_between"] - anova["df_between"] * anova["ms_within"]) / whole if whole else 0.0
 
 
-def _p_rows(df: DataFrame, p: str) -> tuple[DataFrame, int, DataFrame]:
-    from .kernels import running_totals
-
-    counts = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("k"))
-    ranked = running_totals(counts, [F.col(p)], {"upto": "k"})
-    return ranked, ranked.agg(F.sum("k")).first()[0] or 0, df
-
-
 def bonferroni(df: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
     m = df.where(F.col(p).isNotNull()).count()
     adjusted = F.least(F.col(p) * F.lit(float(m)), F.lit(1.0))
     return df.withColumns({"adjusted": adjusted, "rejected": adjusted <= alpha})
 
 
+def _placed(df: DataFrame, p: str) -> tuple[DataFrame, int]:
+    rows = positions(df.where(F.col(p).isNotNull()), [F.col(p)], "__k")
+    return rows, rows.count()
+
+
 def holm_bonferroni(df: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
-    """Step-down adjustment: running maximum of (m - place + 1) p. Tests are few, as they are results: one window orders them."""
-    m = df.where(F.col(p).isNotNull()).count()
-    w = Window.orderBy(p)
-    place = df.where(F.col(p).isNotNull()).withColumn("__k", F.row_number().over(w))
+    """Step-down adjustment: running maximum of (m - place + 1) p."""
+    rows, m = _placed(df, p)
     raw = F.least(F.col(p) * (F.lit(m) - F.col("__k") + 1), F.lit(1.0))
-    out = place.withColumn("adjusted", F.max(raw).over(Window.orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)))
+    out = running(rows, [F.col("__k")], {"adjusted": (raw, "max")})
     return out.withColumn("rejected", F.col("adjusted") <= alpha).drop("__k")
 
 
 def fdr(df: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
     """Benjamini-Hochberg: running minimum of p m / place from the largest p down, and critical values."""
-    m = df.where(F.col(p).isNotNull()).count()
-    place = df.where(F.col(p).isNotNull()).withColumn("__k", F.row_number().over(Window.orderBy(p)))
+    rows, m = _placed(df, p)
     raw = F.least(F.col(p) * F.lit(float(m)) / F.col("__k"), F.lit(1.0))
-    out = place.withColumns({"adjusted": F.min(raw).over(Window.orderBy(F.desc("__k")).rowsBetween(Window.unboundedPreceding, 0)), "critical": F.col("__k") / F.lit(float(m)) * F.lit(alpha)})
-    return out.withColumn("rejected", F.col("adjusted") <= alpha).drop("__k")
-
-
-def exact_median(df: DataFrame, value: str) -> float:
-    n = df.where(F.col(value).isNotNull()).count()
-    a, b = pick_sorted(df, value, [(n - 1) // 2, n // 2])
-    return (a + b) / 2
+    out = running(rows, [F.desc("__k")], {"adjusted": (raw, "min")})
+    return out.withColumns({"critical": F.col("__k") / F.lit(float(max(1, m))) * F.lit(alpha), "rejected": F.col("adjusted") <= alpha}).drop("__k")
 
 
 @dataclass

@@ -1 +1 @@
-
+"""Recipes, pipelines and parameter search."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import expressions as ex
-from .functions.formula import apply_formula, design
+from .functions.formula import apply_formula
 from .operators import cluster, composition, describe, glm, impute, kernels, metrics, ordination, outliers, prepare, smooth, splits, tests, trees
 from .operators.linalg import covariance_matrix
 from .plans.recipe import recipe
@@ -633,4 +633,3 @@ def recipe_features(spark, sf_dir):
 
 
 FLAGSHIP = "describe_groups"
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "design"]

@@ -1 +1 @@
-
+"""Tables in, models in and out."""

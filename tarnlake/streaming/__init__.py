@@ -1 +1,17 @@
+"""Fitted transforms on streams: a transform that is made of column expressions needs no change for a streaming table."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+
+def apply_to_stream(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """Writes transform(batch) of each micro-batch as Parquet; a batch that is run again replaces its own folder."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        transform(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
