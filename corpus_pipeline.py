@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.llm import jaccard, langid, packing, quality, secret_scan
+from tarnlake.llm import idfilter, jaccard, langid, packing, quality, secret_scan
 from tarnlake.llm.common import Stash
 from tarnlake.llm.queries import TOKENIZER
 from tarnlake.session import ship
@@ -14,28 +14,16 @@ from tarnlake.session import ship
 LEAST_LANGUAGE_SHARE = 0.5
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids; ids is deduplicated, so rows that repeat stay as they are."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
-
-
-def _drop(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs but those whose doc_id is in ids; rows without an id stay."""
-    return docs.join(ids.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the counted rules and the outlier rule keep. Repeated rows of one id stay or go together."""
+    """Documents that the counted rules and the outlier rule keep."""
     ship(spark)
-    verdicts = Stash(spark, "pipeline").save(quality.quality_verdicts(docs), "quality")
-    return _drop(docs, verdicts.where("not kept"))
+    return quality.keep_quality(docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: not und, and not a mixture in which none has half of the letters."""
     ship(spark)
-    found = Stash(spark, "pipeline").save(langid.identify_languages(docs), "language")
-    return _drop(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE_SHARE)))
+    return langid.keep_languages(docs, LEAST_LANGUAGE_SHARE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +31,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ship(spark)
     stash = Stash(spark, "pipeline")
     groups = stash.save(jaccard.jaccard_components(docs), "groups")
-    kept = _drop(docs, groups.where("doc_id != component_id"))
+    kept = idfilter.drop_ids(docs, groups.where("doc_id != component_id"), "doc_id")
     twice = stash.save(groups.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
     if twice.isEmpty():
         return kept
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(_keep(kept, twice).dropDuplicates(["doc_id"]).select(docs.columns))
+    repeated = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return idfilter.drop_ids(kept, twice, "doc_id").unionByName(repeated)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
