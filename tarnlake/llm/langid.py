@@ -227,6 +227,28 @@ def _spans_of(m, s, e, label, buf, base, a, b) -> list[dict]:
     return [{"start": place(s[a + i]), "end": place(e[a + j - 1]), "lang": m.names[label[a + i]]} for i, j in zip([0, *cut], [*cut, b - a], strict=True)]
 
 
+def keep_languages(df: DataFrame, least_share: float, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", folds: int = 3, held: int = 1, switch: float = SWITCH, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of df, with all columns, whose text has a language with a score of least_share or more. Rows are judged where they
+    lie: nothing is joined or shuffled."""
+    spark = df.sparkSession
+    small_batches(spark)
+    held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % folds == held
+    model = spark.sparkContext.broadcast(fit_language_model(df.where(~held_out), text_col, lang_col, id_col, fit_rows))
+    predict, at = _predict(model, switch, False), df.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            own = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], ["key", "text"])
+            keep = np.zeros(batch.num_rows, bool)
+            for part in predict(iter([own])):
+                good = np.array([x != "und" for x in part.column("lang_pred").to_pylist()], bool) & (part.column("score").to_numpy() >= least_share)
+                keep[part.column("key").to_numpy()] = good
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def fit_language_model(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> LanguageModel:
     """Fits on rows with a text and a language; of more than fit_rows such rows a share of about fit_rows, chosen by a hash of the id."""
     small_batches(df.sparkSession)

@@ -85,6 +85,11 @@ def vectors(c: dict[str, np.ndarray]) -> np.ndarray:
     return np.stack([np.log(np.maximum(1, c["word_chars"]) / words), np.sqrt(c["n_symbols"] / words), np.sqrt(c["n_dup_lines"] / lines), np.sqrt(c["n_repeat_words"] / words), np.sqrt(c["n_long_words"] / words)], 1)
 
 
+def _judge(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts the counted rules reject, and the statistic vectors."""
+    return (c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"]), vectors(c)
+
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -93,8 +98,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, off in tk.text_chunks(batch, "text"):
             part = batch.slice(rows.start, rows.stop - rows.start)
             c = text_stats(buf, off)
-            failed = (c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"])
-            x = vectors(c)
+            failed, x = _judge(c)
             yield pa.RecordBatch.from_arrays([part.column("key"), part.column("lang"), part.column("source"), *(pa.array(c[k].astype(np.int64)) for k in COUNTS), pa.array(failed), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(x.shape[1]))], ["key", "lang", "source", *COUNTS, "base_failed", *FEATURES])
 
 
@@ -172,37 +176,79 @@ def quality_verdicts(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     Null and empty texts have no words and fail. Null languages and sources are values like others. Groups of fewer than least
     passing rows are pooled by language and then altogether; a pool of fewer than least rows rejects nothing. Ties in distance
     share a bin and are taken together. Repeated rows count each time and get equal verdicts; an empty table gives no row."""
-    spark = df.sparkSession
-    small_batches(spark)
-    stash = Stash(spark, "quality")
+    stash = Stash(df.sparkSession, "quality")
     kind = df.schema[id_col].dataType.simpleString()
-    text = lambda c: F.col(c).cast("string")
-    rows = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), text(lang_col).alias("lang"), text(source_col).alias("source"))
+    counted = _counted(df, stash, kind, text_col, id_col, lang_col, source_col)
+    params = _estimates(counted, stash, share, least, steps)
+    out = counted if params is None else counted.join(params, "peer", "left")
+    return out.select(F.col("key").alias(id_col), *COUNTS, "base_failed", _verdict(params is not None, tail, least).alias("kept"))
+
+
+def keep_quality(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, tail: float = 1e-9, least: int = 200, steps: int = 4) -> DataFrame:
+    """The rows of df, with all columns, that quality_verdicts() keeps. Texts are counted again beside their rows and judged by the
+    estimates of their group, so that no text is shuffled while the table of estimates is small enough to be broadcast."""
+    stash = Stash(df.sparkSession, "quality")
+    counted = _counted(df, stash, df.schema[id_col].dataType.simpleString(), text_col, id_col, lang_col, source_col)
+    params = _estimates(counted, stash, share, least, steps)
+    names, at = df.columns, df.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for rows, buf, off in tk.text_chunks(pa.RecordBatch.from_arrays([batch.column(at)], ["text"]), "text"):
+                part = batch.slice(rows.start, rows.stop - rows.start)
+                failed, x = _judge(text_stats(buf, off))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(failed), pa.array(list(x), pa.list_(pa.float64()))], names=[*part.schema.names, "__failed", "__x"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", __peer string, __failed boolean, __x array<double>"
+    beside = df.withColumn("__peer", _peer(lang_col, source_col)).mapInArrow(run, schema)
+    if params is None:
+        return beside.where("not __failed").select(names)
+    renamed = params.select(F.col("peer").alias("__peer"), F.struct("mu", "inv", "size").alias("__params"))
+    joined = beside.where("not __failed").join(renamed, "__peer", "left")
+    p = len(FEATURES)
+    away = [F.col("__x")[i] - F.col("__params.mu")[i] for i in range(p)]
+    d = sum((away[i] * away[j] * F.col("__params.inv")[i * p + j] for i in range(p) for j in range(p)), F.lit(0.0))
+    good = F.col("__params").isNull() | (F.col("__params.size") < least) | (d <= chi2_quantile(1 - tail, p))
+    return joined.where(F.coalesce(good, F.lit(True))).select(names)
+
+
+def _peer(lang_col: str, source_col: str) -> F.Column:
+    return F.to_json(F.struct(F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source")))
+
+
+def _counted(df, stash, kind, text_col, id_col, lang_col, source_col) -> DataFrame:
+    rows = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
     schema = f"key {kind}, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, " + ", ".join(f"{c} double" for c in FEATURES)
-    counted = stash.save(rows.mapInArrow(_count, schema).withColumn("peer", F.to_json(F.struct("lang", "source"))), "counted")
+    return stash.save(rows.mapInArrow(_count, schema).withColumn("peer", _peer("lang", "source")), "counted")
+
+
+def _verdict(fitted: bool, tail: float, least: int) -> F.Column:
+    if not fitted:
+        return ~F.col("base_failed")
+    good = F.col("size").isNull() | (F.col("size") < least) | (_distance() <= chi2_quantile(1 - tail, len(FEATURES)))
+    return ~F.col("base_failed") & F.coalesce(good, F.lit(True))
+
+
+def _estimates(counted: DataFrame, stash: Stash, share: float, least: int, steps: int) -> DataFrame | None:
+    """peer, mu, inv, size of the group that each (lang, source) belongs to; None if no text passes the counted rules."""
     passed = counted.where(~F.col("base_failed"))
     named = stash.save(_groups(passed, least), "groups")
-    grouped = passed.select("peer", *FEATURES).join(named, "peer").select("g", *FEATURES)
     if named.isEmpty():
-        verdict = F.lit(True)
-        out = counted
-    else:
-        dims = F.explode(F.array(*(F.struct(F.lit(k).alias("dim"), F.floor(F.col(c) * VALUE_BINS).alias("bin")) for k, c in enumerate(FEATURES)))).alias("d")
-        first = grouped.select("g", dims).groupBy("g", "d.dim", "d.bin").agg(F.count("*").alias("n"))
-        params = stash.save(first.groupBy("g").applyInPandas(_start, "g string, mu array<double>, inv array<double>"), "start")
-        p = len(FEATURES)
-        sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(FEATURES)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}_{j}") for i in range(p) for j in range(i, p)]
-        # The share's covariance is too small by this factor if the rest is normal.
-        q = chi2_quantile(share, p)
-        factor = share / (1 - _upper(q, p + 2))
-        for k in range(steps):
-            binned = grouped.join(params, "g").withColumn("bin", F.floor(F.log(_distance() + 1e-6) * DISTANCE_BINS))
-            params = stash.save(binned.groupBy("g", "bin").agg(F.count("*").alias("n"), *sums).groupBy("g").applyInPandas(_concentrate(share, factor), "g string, mu array<double>, inv array<double>"), f"step{k}")
-        enough = passed.select("peer").join(named, "peer").groupBy("g").agg(F.count("*").alias("size"))
-        params = stash.save(named.join(params.join(enough, "g"), "g").select("peer", "mu", "inv", "size"), "by_peer")
-        out = counted.join(params, "peer", "left")
-        verdict = (F.col("size").isNull()) | (F.col("size") < least) | (_distance() <= chi2_quantile(1 - tail, p))
-    return out.select(F.col("key").alias(id_col), *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce(verdict, F.lit(True))).alias("kept"))
+        return None
+    grouped = passed.select("peer", *FEATURES).join(named, "peer").select("g", *FEATURES)
+    dims = F.explode(F.array(*(F.struct(F.lit(k).alias("dim"), F.floor(F.col(c) * VALUE_BINS).alias("bin")) for k, c in enumerate(FEATURES)))).alias("d")
+    first = grouped.select("g", dims).groupBy("g", "d.dim", "d.bin").agg(F.count("*").alias("n"))
+    params = stash.save(first.groupBy("g").applyInPandas(_start, "g string, mu array<double>, inv array<double>"), "start")
+    p = len(FEATURES)
+    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(FEATURES)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}_{j}") for i in range(p) for j in range(i, p)]
+    # The share's covariance is too small by this factor if the rest is normal.
+    q = chi2_quantile(share, p)
+    factor = share / (1 - _upper(q, p + 2))
+    for k in range(steps):
+        binned = grouped.join(params, "g").withColumn("bin", F.floor(F.log(_distance() + 1e-6) * DISTANCE_BINS))
+        params = stash.save(binned.groupBy("g", "bin").agg(F.count("*").alias("n"), *sums).groupBy("g").applyInPandas(_concentrate(share, factor), "g string, mu array<double>, inv array<double>"), f"step{k}")
+    enough = passed.select("peer").join(named, "peer").groupBy("g").agg(F.count("*").alias("size"))
+    return stash.save(named.join(params.join(enough, "g"), "g").select("peer", "mu", "inv", "size"), "by_peer")
 
 
 def _upper(x: float, df: int) -> float:
