@@ -28,7 +28,7 @@ from .common import Stash, open_folder, partitions, put_file, small_batches
 U64 = np.uint64
 END, START = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 #: Bytes of training text for each bucket, about; tokens that a map task gathers before it sends them; hot contexts at most.
-BUCKET_BYTES, FLUSH_TOKENS, HOT_WORDS = 16 << 20, 3_000_000, 1024
+BUCKET_BYTES, FLUSH_TOKENS, HOT_WORDS = 16 << 20, 1_500_000, 1024
 
 
 def token_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
