@@ -22,15 +22,24 @@ def unpack_arrays(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def to_short(x: np.ndarray, width: int) -> np.ndarray:
+    """The lowest bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).reshape(-1)
+
+
+def from_short(x: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(x) // width, 8), np.uint8)
+    out[:, :width] = x.reshape(-1, width)
+    return out.reshape(-1).view("<u8")
+
+
 def to_five(x: np.ndarray) -> np.ndarray:
     """The lowest 40 bits of each number as five bytes."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).reshape(-1)
+    return to_short(x, 5)
 
 
 def from_five(x: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(x) // 5, 8), np.uint8)
-    out[:, :5] = x.reshape(-1, 5)
-    return out.reshape(-1).view("<u8")
+    return from_short(x, 5)
 
 
 def narrow(x: np.ndarray) -> list[np.ndarray]:

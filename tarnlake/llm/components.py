@@ -25,8 +25,10 @@ def min_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node is either a root or tied to one root only; one aggregation tells."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.node", "e.up")
+    return ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("root")).where("ups > 1 or (ups = 1 and root = 0)").isEmpty()
 
 
 def _star(stash: Stash, name: str, both: DataFrame, tell: str) -> DataFrame:
@@ -41,8 +43,8 @@ def connected_components(edges: DataFrame, stash: Stash, name: str = "components
     Nodes without an edge to another node are absent."""
     tidy = lambda df: df.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = stash.save(tidy(edges), f"{name}-0")
-    mark, k = _mark(now), 0
-    while mark[0]:
+    k = 0
+    while not _is_stars(now):
         k += 1
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Every larger neighbour is tied to the smallest of the neighbourhood.
@@ -51,10 +53,6 @@ def connected_components(edges: DataFrame, stash: Stash, name: str = "components
         # Every node and its smaller neighbours are tied to the smallest of these.
         stars = _star(stash, f"{name}-{k}", middle, "small")
         small = stars.select(F.explode(F.array(F.struct("u", F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v")))).alias("e")).select("e.u", "e.v")
-        after = stash.save(tidy(small), f"{name}-{k}")
-        new = _mark(after)
+        now = stash.save(tidy(small), f"{name}-{k}")
         stash.drop(f"{name}-{k}-large", f"{name}-{k}-large-least", f"{name}-{k}-small-least", f"{name}-{k - 1}")
-        now, done, mark = after, new == mark, new
-        if done:
-            break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkern as tk
-from .blobs import cut_points, from_five, pack_arrays, to_five, unpack_arrays
+from .blobs import cut_points, from_five, from_short, pack_arrays, to_five, to_short, unpack_arrays
 from .common import Stash, partitions, small_batches
 from .components import connected_components, min_labels
+from .idfilter import id_filter, rows_by_filter
 
 U64 = np.uint64
 SHINGLE = 5
@@ -37,6 +38,8 @@ SKETCH_BITS, SKETCH_PARTS = 22, 64
 BUCKET_POSTINGS, FLUSH_POSTINGS = 1 << 20, 1 << 21
 #: Documents and shingles of a group that one task searches; pivots of a larger group.
 GROUP_DOCS, GROUP_SHINGLES, PIVOTS = 96, 2_000_000, 4
+#: Bytes of a shingle's hash in a group: 48 bits tell the shingles of one task apart.
+SHINGLE_BYTES = 6
 #: Occurrences that a candidate needs in the merged short lists.
 MERGE_COUNT = 4
 
@@ -264,7 +267,7 @@ def _search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Links of one task's sets."""
     pdf = pdf.drop_duplicates("rep").sort_values("rep")
     reps = pdf["rep"].tolist()
-    links = t_occurrence_links([np.frombuffer(x, U64) for x in pdf["shingles"]], pdf["part"].tolist() if "part" in pdf else None)
+    links = t_occurrence_links([from_short(np.frombuffer(x, np.uint8), SHINGLE_BYTES) for x in pdf["shingles"]], pdf["part"].tolist() if "part" in pdf else None)
     return pd.DataFrame({"u": [reps[a] for a, _ in links], "v": [reps[b] for _, b in links]})
 
 
@@ -277,7 +280,7 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c1, c2 = class_hashes(sets, first)
             keep = np.flatnonzero((c1 == own.column("c1").to_numpy()) & (c2 == own.column("c2").to_numpy()))
             at = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([own.column("g").take(at), own.column("rep").take(at), own.column("n").take(at), pa.array([sets[first[k] : first[k + 1]].tobytes() for k in keep], pa.binary())], ["g", "rep", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(own.column(c).take(at) for c in ("g", "blocks", "rep", "n")), pa.array([to_short(sets[first[k] : first[k + 1]], SHINGLE_BYTES).tobytes() for k in keep], pa.binary())], ["g", "blocks", "rep", "n", "shingles"])
 
 
 def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -304,13 +307,14 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     ties = rows.where("key is not null").mapInArrow(_postings(shared, bits), "bucket int, blob binary").groupBy("bucket").applyInPandas(_tie, "u long, v long")
     groups = connected_components(ties, stash, "ties").select(F.col("node").alias("c1"), F.col("component").alias("g"))
     members = stash.save(classes.join(groups, "c1"), "members")
-    found = members.select("rep", "c1", "c2", "g", "n").join(rows, F.col("rep") == F.col("key")).select("g", "rep", "c1", "c2", "n", "text")
-    sets = stash.save(found.mapInArrow(_sets_of, "g long, rep long, n long, shingles binary"), "sets")
-
     sizes = members.groupBy("g").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
     blocks = F.greatest(F.ceil(F.col("docs") / GROUP_DOCS), F.ceil(F.col("total") / GROUP_SHINGLES)).cast("int")
-    sizes = stash.save(sizes.select("g", blocks.alias("blocks")), "sizes")
-    sets = sets.join(sizes, "g")
+    placed = stash.save(members.join(sizes.select("g", blocks.alias("blocks")), "g").select("rep", "c1", "c2", "g", "n", "blocks"), "placed_members")
+    # Texts of members only are shuffled; the filter is of fixed size.
+    likely = rows.where("key is not null").mapInArrow(rows_by_filter(id_filter(placed, "rep"), "key", True), "key long, text string")
+    found = placed.join(likely.hint("merge"), F.col("rep") == F.col("key")).select("g", "blocks", "rep", "c1", "c2", "n", "text")
+    sets = stash.save(found.mapInArrow(_sets_of, "g long, blocks int, rep long, n long, shingles binary"), "sets")
+
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     inner = sets.select("g", block.alias("block"), "rep", "shingles")
     large = sets.where("blocks > 1")
