@@ -27,7 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents that with the smallest id. Rows that repeat an id with an equal text leave one."""
+    """Of each group of linked documents that with the smallest id. Rows that repeat an id with an equal text leave
+    one; rows that give one id different texts all stay, as do rows without an id or without words."""
     ship(spark)
     stash = Stash(spark, "pipeline")
     groups = stash.save(jaccard.jaccard_components(docs), "groups")
@@ -35,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     twice = stash.save(groups.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
     if twice.isEmpty():
         return kept
-    repeated = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    repeated = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
     return idfilter.drop_ids(kept, twice, "doc_id").unionByName(repeated)
 
 
