@@ -34,3 +34,10 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert pipeline.run(spark, SF).count() > 0
+
+
+def test_repeated_ids(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, text), (1, text), (2, "alpha beta gamma delta epsilon zeta eta"), (2, "red green blue white black brown grey"), (3, None), (3, None), (None, text), (4, text + " x"), (5, "")]
+    out = pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[0], *rows[2:7], rows[8]], key=str)
