@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from . import textkern as tk
 from .common import small_batches
@@ -92,6 +94,9 @@ class Vocabulary:
         keys, ranks = cls._table(key, bits)
         return cls(keys, ranks, bits, merged, byte_ids, tokens, specials, zlib.crc32(json.dumps(spec).encode()))
 
+    def words(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return encode_words(self, buf, s, e)
+
     @staticmethod
     def slots(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         x = key.astype(np.uint64)
@@ -221,6 +226,39 @@ def encode_words(v: Vocabulary, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -
     return np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32), at, counts
 
 
+@dataclass
+class LibraryVocabulary:
+    """The tokenizers library as the encoder of words: an alternative to Vocabulary in encode_batches(). The split pattern takes a
+    word of a text again as one word when it stands alone, so words can be given to the library one by one, each once."""
+
+    #: Words of one call of the library.
+    GROUP = 8192
+
+    tokenizer: Tokenizer
+    specials: dict[bytes, int]
+    mark: int
+
+    @classmethod
+    def load(cls, path: str) -> LibraryVocabulary:
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_padding()
+        tokenizer.no_truncation()
+        return cls(tokenizer, {t.content.encode(): i for i, t in tokenizer.get_added_tokens_decoder().items()}, -1 - zlib.crc32(tokenizer.to_str().encode()))
+
+    def words(self, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
+        raw, parts, counts = buf.tobytes(), [], []
+        begins, ends = s.tolist(), e.tolist()
+        for k in range(0, len(begins), self.GROUP):
+            texts = [raw[a:b].decode() for a, b in zip(begins[k : k + self.GROUP], ends[k : k + self.GROUP], strict=True)]
+            for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                own = found.ids
+                parts += own
+                counts.append(len(own))
+        n = np.array(counts, np.int64)
+        return np.array(parts, np.int32), np.cumsum(n) - n, n
+
+
 class WordStore:
     """Tokens of words met before in this worker, in a direct-mapped table by hash. It starts anew beyond a fixed number of words."""
 
@@ -242,7 +280,7 @@ class WordStore:
         old[used : used + len(new)] = new
         return old
 
-    def encode(self, v: Vocabulary, buf: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, v: Vocabulary | LibraryVocabulary, buf: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All tokens held, and for each word its first token and its number of tokens; h has the words' hashes."""
         if self.mark != v.mark or self.used > self.LIMIT:
             self._clear(v.mark)
@@ -255,7 +293,7 @@ class WordStore:
             ordered = own[order]
             new = np.append(True, ordered[1:] != ordered[:-1])
             first = missed[order[new]]
-            ids, at, counts = encode_words(v, buf, s[first], e[first])
+            ids, at, counts = v.words(buf, s[first], e[first])
             number = self.used + 1 + np.arange(len(first))  # 0 marks an empty slot
             self.ids = self._append(self.ids, self.filled, ids)
             self.at = self._append(self.at, self.used + 1, at + self.filled)
@@ -346,7 +384,7 @@ def split(buf: np.ndarray, off: np.ndarray, specials: dict[bytes, int] | None =
     return s, np.append(s[1:], n)
 
 
-def encode_chunk(v: Vocabulary, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def encode_chunk(v: Vocabulary | LibraryVocabulary, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all documents of a chunk, and each document's first id (one more at the end)."""
     s, e = split(buf, off, v.specials)
     if not len(s):
@@ -363,7 +401,7 @@ def decode_ids(v: Vocabulary, ids: np.ndarray) -> str:
     return b"".join([t[i] for i in ids.tolist()]).decode("utf-8", "replace")
 
 
-def encode_batches(batches: Iterator[pa.RecordBatch], v: Vocabulary, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def encode_batches(batches: Iterator[pa.RecordBatch], v: Vocabulary | LibraryVocabulary, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows of each chunk with their ids and first ids."""
     for batch in batches:
         for rows, buf, off in tk.text_chunks(batch, column):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Vocabulary, encode_batches
+from .bpe import LibraryVocabulary, encode_batches
 from .common import Stash, small_batches
 
 #: Remainders of one bucket, about.
@@ -136,7 +136,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, window: int = 1024, end_i
     into powers of two instead of being padded. Rows with one id are documents of their own; an empty table gives no row."""
     spark = df.sparkSession
     small_batches(spark)
-    tables = spark.sparkContext.broadcast(Vocabulary.load(tokenizer_path))
+    tables = spark.sparkContext.broadcast(LibraryVocabulary.load(tokenizer_path))
     kind = df.schema[id_col].dataType.simpleString()
     stash = Stash(spark, "packing")
     sized = stash.save(df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(_measure(tables, window, end_id), f"key {kind}, doc_tokens long, whole array<long>, rest long, cuts array<long>"), "sized")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Vocabulary, encode_batches
+from .bpe import LibraryVocabulary, encode_batches
 from .common import Stash, open_folder, partitions, put_file, small_batches
 
 MAGIC = b"TLTOKEN1"
@@ -126,7 +126,7 @@ def write_token_files(df: DataFrame, tokenizer_path: str, folder: str, end_id: i
     equal ids follow each other by text, repeated rows stay. An empty table gives no file."""
     spark = df.sparkSession
     small_batches(spark)
-    tables = spark.sparkContext.broadcast(Vocabulary.load(tokenizer_path))
+    tables = spark.sparkContext.broadcast(LibraryVocabulary.load(tokenizer_path))
 
     def run(batches):
         part = TaskContext.get().partitionId()

@@ -71,8 +71,9 @@ def test_bpe(docs, table, reference):
     assert {r["doc_id"]: r["text"] for r in bpe.bpe_decode(coded, TOKENIZER).collect()} == table
 
 
-def test_bpe_fuzz():
-    v, t = bpe.Vocabulary.load(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+@pytest.mark.parametrize("kind", [bpe.Vocabulary, bpe.LibraryVocabulary])
+def test_bpe_fuzz(kind):
+    v, t = kind.load(TOKENIZER), Tokenizer.from_file(TOKENIZER)
     rng = np.random.default_rng(0)
     parts = ["a", "b", "é", "ß", "1", "²", " ", "  ", "\n", "\t", "　", "'", "'s", "'re", "'ll", "-", "!!", "<|endoftext|>", "日本", "😀", "\r\n", "\x1c", "ab" * 40]
     made = ["".join(rng.choice(parts, rng.integers(1, 25))) for _ in range(1500)]
