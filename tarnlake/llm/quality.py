@@ -161,27 +161,28 @@ def _distance() -> F.Column:
 
 
 def _groups(rows: DataFrame, least: int) -> DataFrame:
-    """A name for each (lang, source): itself if it has enough rows, else the rest of its language, else the rest of all."""
+    """A name for each (lang, source), and its rows: itself if it has enough rows, else the rest of its language, else the rest of all."""
     from pyspark.sql import Window
 
     n = rows.groupBy("peer", "lang").agg(F.count("*").alias("n"))
     small = F.when(F.col("n") < least, F.col("n")).otherwise(0)
     n = n.withColumn("rest", F.sum(small).over(Window.partitionBy("lang")))
-    return n.select("peer", F.when(F.col("n") >= least, F.col("peer")).when(F.col("rest") >= least, F.concat(F.lit("l:"), F.coalesce("lang", F.lit("")))).otherwise("*").alias("g"))
+    return n.select("peer", "n", F.when(F.col("n") >= least, F.col("peer")).when(F.col("rest") >= least, F.concat(F.lit("l:"), F.coalesce("lang", F.lit("")))).otherwise("*").alias("g"))
 
 
 def quality_verdicts(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, tail: float = 1e-9, least: int = 200, steps: int = 4) -> DataFrame:
     """One row per document: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     Null and empty texts have no words and fail. Null languages and sources are values like others. Groups of fewer than least
-    passing rows are pooled by language and then altogether; a pool of fewer than least rows rejects nothing. Ties in distance
-    share a bin and are taken together. Repeated rows count each time and get equal verdicts; an empty table gives no row."""
+    passing rows are pooled by language and then altogether; a pool of fewer than least rows is judged by the estimate of all
+    passing rows, however few they are. Ties in distance share a bin and are taken together. Repeated rows count each time
+    and get equal verdicts; an empty table gives no row."""
     stash = Stash(df.sparkSession, "quality")
     kind = df.schema[id_col].dataType.simpleString()
     counted = _counted(df, stash, kind, text_col, id_col, lang_col, source_col)
     params = _estimates(counted, stash, share, least, steps)
     out = counted if params is None else counted.join(params, "peer", "left")
-    return out.select(F.col("key").alias(id_col), *COUNTS, "base_failed", _verdict(params is not None, tail, least).alias("kept"))
+    return out.select(F.col("key").alias(id_col), *COUNTS, "base_failed", _verdict(params is not None, tail).alias("kept"))
 
 
 def keep_quality(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, tail: float = 1e-9, least: int = 200, steps: int = 4) -> DataFrame:
@@ -203,13 +204,12 @@ def keep_quality(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     beside = df.withColumn("__peer", _peer(lang_col, source_col)).mapInArrow(run, schema)
     if params is None:
         return beside.where("not __failed").select(names)
-    renamed = params.select(F.col("peer").alias("__peer"), F.struct("mu", "inv", "size").alias("__params"))
+    renamed = params.select(F.col("peer").alias("__peer"), F.struct("mu", "inv").alias("__params"))
     joined = beside.where("not __failed").join(renamed, "__peer", "left")
     p = len(FEATURES)
     away = [F.col("__x")[i] - F.col("__params.mu")[i] for i in range(p)]
     d = sum((away[i] * away[j] * F.col("__params.inv")[i * p + j] for i in range(p) for j in range(p)), F.lit(0.0))
-    good = F.col("__params").isNull() | (F.col("__params.size") < least) | (d <= chi2_quantile(1 - tail, p))
-    return joined.where(F.coalesce(good, F.lit(True))).select(names)
+    return joined.where(d <= chi2_quantile(1 - tail, p)).select(names)
 
 
 def _peer(lang_col: str, source_col: str) -> F.Column:
@@ -222,20 +222,23 @@ def _counted(df, stash, kind, text_col, id_col, lang_col, source_col) -> DataFra
     return stash.save(rows.mapInArrow(_count, schema).withColumn("peer", _peer("lang", "source")), "counted")
 
 
-def _verdict(fitted: bool, tail: float, least: int) -> F.Column:
+def _verdict(fitted: bool, tail: float) -> F.Column:
     if not fitted:
         return ~F.col("base_failed")
-    good = F.col("size").isNull() | (F.col("size") < least) | (_distance() <= chi2_quantile(1 - tail, len(FEATURES)))
-    return ~F.col("base_failed") & F.coalesce(good, F.lit(True))
+    return ~F.col("base_failed") & F.coalesce(_distance() <= chi2_quantile(1 - tail, len(FEATURES)), F.lit(False))
 
 
 def _estimates(counted: DataFrame, stash: Stash, share: float, least: int, steps: int) -> DataFrame | None:
-    """peer, mu, inv, size of the group that each (lang, source) belongs to; None if no text passes the counted rules."""
+    """peer, mu, inv of the group that each (lang, source) belongs to; None if no text passes the counted rules."""
     passed = counted.where(~F.col("base_failed"))
     named = stash.save(_groups(passed, least), "groups")
-    if named.isEmpty():
+    peers, rest = named.agg(F.count("*"), F.sum(F.when(F.col("g") == "*", F.col("n")))).first()
+    if not peers:
         return None
-    grouped = passed.select("peer", *FEATURES).join(named, "peer").select("g", *FEATURES)
+    members = named.select("peer", "g")
+    if rest is not None and rest < least:  # too few for an estimate of their own: that of all rows
+        members = members.where("g != '*'").union(named.select("peer", F.lit("*")))
+    grouped = passed.select("peer", *FEATURES).join(members, "peer").select("g", *FEATURES)
     dims = F.explode(F.array(*(F.struct(F.lit(k).alias("dim"), F.floor(F.col(c) * VALUE_BINS).alias("bin")) for k, c in enumerate(FEATURES)))).alias("d")
     first = grouped.select("g", dims).groupBy("g", "d.dim", "d.bin").agg(F.count("*").alias("n"))
     params = stash.save(first.groupBy("g").applyInPandas(_start, "g string, mu array<double>, inv array<double>"), "start")
@@ -247,8 +250,7 @@ def _estimates(counted: DataFrame, stash: Stash, share: float, least: int, steps
     for k in range(steps):
         binned = grouped.join(params, "g").withColumn("bin", F.floor(F.log(_distance() + 1e-6) * DISTANCE_BINS))
         params = stash.save(binned.groupBy("g", "bin").agg(F.count("*").alias("n"), *sums).groupBy("g").applyInPandas(_concentrate(share, factor), "g string, mu array<double>, inv array<double>"), f"step{k}")
-    enough = passed.select("peer").join(named, "peer").groupBy("g").agg(F.count("*").alias("size"))
-    return stash.save(named.join(params.join(enough, "g"), "g").select("peer", "mu", "inv", "size"), "by_peer")
+    return stash.save(named.join(params, "g").select("peer", "mu", "inv"), "by_peer")
 
 
 def _upper(x: float, df: int) -> float:

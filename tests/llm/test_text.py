@@ -311,6 +311,20 @@ def test_quality(spark):
     assert all(got[k]["kept"] for k in range(300)) and not got[1001]["kept"] and not got[1002]["kept"] and not got[1003]["kept"]
 
 
+@pytest.mark.parametrize("many", [40, 400])
+def test_quality_of_few_rows(spark, many):
+    """Pools below the least number of rows: a whole small table, and a rare language and null labels in a larger one."""
+    rng = np.random.default_rng(1)
+    words = lambda n: " ".join(rng.choice(WORDS, n))
+    junk = lambda: " ".join(w + "###$$$" for w in rng.choice(WORDS, 40))
+    rows = [(k, words(rng.integers(25, 60)), "en", "s0") for k in range(many)]
+    rows += [(1000, words(40), "rare", "s1"), (1001, junk(), "rare", "s1"), (1002, words(40), None, None), (1003, junk(), None, None), (1004, junk(), "en", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    good = {k for k, *_ in rows} - {1001, 1003, 1004}
+    assert {r["doc_id"] for r in quality.quality_verdicts(df).where("kept").collect()} == good
+    assert {r["doc_id"] for r in quality.keep_quality(df).collect()} == good
+
+
 def test_kneser_ney(docs, table):
     held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
     mark = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
