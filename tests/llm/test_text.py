@@ -325,6 +325,20 @@ def test_quality_of_few_rows(spark, many):
     assert {r["doc_id"] for r in quality.keep_quality(df).collect()} == good
 
 
+def test_quality_of_repeats(spark):
+    """Duplicate lines in changing order, and repeated passages, each short of the counted rules, are rejected on their own."""
+    rng = np.random.default_rng(2)
+    rows = [(k, " ".join(rng.choice(WORDS, rng.integers(25, 60))), "en", "s0") for k in range(300)]
+    short = [" ".join(rng.choice(WORDS, 3)) for _ in range(12)]
+    rows.append((1000, "\n".join(short[i] for i in rng.integers(0, 12, 60)), "en", "s0"))
+    passage = " ".join(rng.choice(WORDS, 15))
+    rows.append((1001, " ".join([passage, *rng.choice(WORDS, 36), passage, *rng.choice(WORDS, 36)]), "en", "s0"))
+    got = {r["doc_id"]: r for r in quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[1000]["n_dup_lines"] >= 45 and got[1001]["n_dup_lines"] == 0 and got[1001]["n_repeat_words"] >= 29
+    assert not got[1000]["base_failed"] and not got[1001]["base_failed"]
+    assert {k for k, r in got.items() if not r["kept"]} == {1000, 1001}
+
+
 def test_kneser_ney(docs, table):
     held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
     mark = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
