@@ -38,10 +38,12 @@ IS_HEX = np.zeros(256, bool)
 IS_HEX[list(b"0123456789abcdef")] = True
 
 _LEX = re.compile(
-    r"""(?P<name>[A-Za-z_$][\w$]*(?:(?:\.|->|::|-)[A-Za-z_$][\w$]*)*)["'\]]{0,2}[ \t]{0,40}(?P<op>:=|=>|=(?!=)|:(?!:|//))[ \t]{0,40}(?P<value>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s"'`,;(){}\[\]<>#]+)""",
+    r"""(?P<name>[A-Za-z_$][\w$]*(?:(?:\.|->|::|-)[A-Za-z_$][\w$]*)*)["'\]]{0,2}[ \t]*+(?P<op>:=|=>|=(?!=)|:(?!:|//))[ \t]*+(?P<value>"{3}(?:[^\\]|\\[\s\S])*?"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s"'`,;(){}\[\]<>#]+)""",
     re.ASCII,
 )
-_JOIN = re.compile(r"""[ \t]{0,8}[+.][ \t]{0,8}("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_$][\w$]*)""", re.ASCII)
+#: Blanks and line ends (a line of its own may begin with +: no name that is assigned to there is joined).
+_JOIN = re.compile(r"""(?:[ \t]|\\?\r?\n)*+[+.](?:[ \t]|\\?\r?\n)*+("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_$][\w$]*+(?![ \t]*[:=]))""", re.ASCII)
+TRIPLE = ('"""', "'''")
 _NAME = re.compile(r"[A-Za-z_$][\w$.]*\Z", re.ASCII)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -82,9 +84,16 @@ def name_weight(name: str) -> int:
     return max((SENSITIVE.get(x, 0) for x in [*parts, *(a + b for a, b in zip(parts, parts[1:], strict=False))]), default=0)
 
 
+def is_path(value: str) -> bool:
+    """Whether a value that begins with / looks like a path: not like base64, where lower case, upper case and digits alternate."""
+    kind = ["d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "" for c in value]
+    pairs = [a != b for a, b in zip(kind, kind[1:], strict=False) if a and b]
+    return not (len(value) >= 16 and {"d", "l", "u"} <= set(kind) and sum(pairs) >= 0.4 * len(pairs))
+
+
 def literal_weight(value: str) -> int:
     """How much a literal looks like a secret: length, entropy, and kinds of characters; 0 for plain words and placeholders."""
-    if len(value) < 8 or len(set(value)) < 5 or any(c.isspace() for c in value) or value.startswith(("${", "{{", "%(", "<", "http:", "https:", "/", "./")):
+    if len(value) < 8 or len(set(value)) < 5 or any(c.isspace() for c in value) or value.startswith(("${", "{{", "%(", "<", "http:", "https:", "./")) or (value.startswith("/") and is_path(value)):
         return 0
     n = Counter(value)
     bits = -sum(k / len(value) * math.log2(k / len(value)) for k in n.values())
@@ -92,19 +101,32 @@ def literal_weight(value: str) -> int:
     return (bits >= 3.0) + (kinds >= 2) + (len(value) >= 16 and any(c.isdigit() for c in value))
 
 
+def _assignments(text: str) -> Iterator[re.Match[str]]:
+    """Matches of _LEX from left to right; a triple-quoted text is also read inside, as it may hold assignments."""
+    at = 0
+    while m := _LEX.search(text, at):
+        yield m
+        at = m.start("value") + 3 if m["value"].startswith(TRIPLE) else m.end()
+
+
 def named_spans(text: str, least: int = 4) -> list[Span]:
     """Literals whose names and looks together score least or more. A constant that is assigned on to a sensitive name is
     reported where it stands."""
     constants: dict[str, tuple[int, int, str]] = {}
     weight: dict[tuple[int, int], int] = {}
     value_of: dict[tuple[int, int], str] = {}
-    for m in _LEX.finditer(text):
+    for m in _assignments(text):
         raw, (a, b) = m["value"], m.span("value")
         quoted = raw[0] in "\"'`" and len(raw) > 1 and raw[-1] == raw[0]
         name = m["name"]
         places: list[tuple[int, int, str]] = []
         if quoted:
-            places.append((a + 1, b - 1, raw[1:-1]))
+            if raw.startswith(TRIPLE):  # without the blanks and line ends around the text
+                own = raw[3:-3].strip()
+                a += 3 + len(raw[3:]) - len(raw[3:].lstrip()) if own else 3
+                places.append((a, a + len(own), own))
+            else:
+                places.append((a + 1, b - 1, raw[1:-1]))
         elif raw in constants:
             places.append(constants[raw])
         elif not _NAME.match(raw) or any(c.isdigit() for c in raw):

@@ -282,6 +282,23 @@ def test_secrets(spark):
     assert masked[0] == "[secret]\"" and masked[6] is None and masked[8] == made[8] and "aB3" not in masked[4]
 
 
+def test_named_secrets():
+    """Triple quotes, aligned assignments, literals joined over lines, and base64 that begins with a slash; paths and diffs are left."""
+    key, half = "ghp_A1b2C3d4E5f6G7h8J9", "A1b2C3d4E5"
+    shown = lambda t: [t[s.start : s.end] for s in secret_scan.named_spans(t)]
+    for quote in ('"""', "'''"):
+        assert shown(f"token = {quote}{key}{quote}\nx = 1") == shown(f"token = {quote}\n  {key}\n{quote}") == [key]
+    assert shown(f"password{' ' * 60}={' ' * 60}'{key}'") == [key]
+    for gap in ("\n    + ", " +\n    ", " + \\\r\n  ", "\n  . ", " " * 20 + "+" + " " * 20):
+        (found,) = shown(f'secret = "{half}"{gap}"f6G7h8J9k0"')
+        assert found.startswith(half) and found.endswith("f6G7h8J9k0")
+    assert shown('aws_secret_access_key = "/Abc9dEf0GhI1jKl2MnO3pQr4StU5vWx6YzA7bC8"') == ["/Abc9dEf0GhI1jKl2MnO3pQr4StU5vWx6YzA7bC8"]
+    assert shown('secret = "/etc/ssl/Private2024/serverKey.pem"\ntoken: /var/run/secrets/kubernetes.io/token1') == []
+    assert shown(f'+host = "plainhost-0A1b2C3d"\n+password = "{key}"\n+host = "b"') == [key]
+    assert shown('token = """unclosed\n' * 3) == []
+    assert shown(f'text = """\npassword = "{key}"\n"""') == [key]
+
+
 def brute_stats(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     seen, dup, at = set(), 0, defaultdict(list)
