@@ -198,19 +198,20 @@ def encode_words(v: Vocabulary, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -
     sizes, begins = np.unique(length[order], return_index=True)
     counts, parts, at = np.zeros(len(s), np.int64), [], np.zeros(len(s), np.int64)
     total = 0
-    special_sizes = {len(t) for t in v.specials}
+    specials: dict[int, list[tuple[np.ndarray, int]]] = {}
+    for t, i in v.specials.items():
+        specials.setdefault(len(t), []).append((np.frombuffer(t, np.uint8), i))
     for size, lo, hi in zip(sizes, begins, [*begins[1:], len(s)], strict=True):
         who = order[lo:hi]
-        if size in special_sizes:
-            own = np.array([v.specials.get(buf[s[w] : e[w]].tobytes(), -1) for w in who]) if (size > 8 and len(who) < 10**6) else np.full(len(who), -1)
-            if (own >= 0).any():
-                hit = who[own >= 0]
-                counts[hit], at[hit] = 1, total + np.arange(len(hit))
-                parts.append(own[own >= 0].astype(np.int32))
-                total += len(hit)
-                who = who[own < 0]
-                if not len(who):
-                    continue
+        for special, token in specials.get(int(size), ()):
+            hit = (buf[s[who][:, None] + np.arange(size)] == special).all(1)
+            if hit.any():
+                counts[who[hit]], at[who[hit]] = 1, total + np.arange(hit.sum())
+                parts.append(np.full(hit.sum(), token, np.int32))
+                total += int(hit.sum())
+                who = who[~hit]
+        if not len(who):
+            continue
         if size <= LONG_WORD:
             row, n, ids = _encode_equal(v, v.byte_ids[buf[s[who][:, None] + np.arange(size)]])
             counts[who[row]] = n
@@ -260,18 +261,20 @@ class LibraryVocabulary:
 
 
 class WordStore:
-    """Tokens of words met before in this worker, in a direct-mapped table by hash. It starts anew beyond a fixed number of words."""
+    """Tokens and bytes of words met before in this worker, in a direct-mapped table by hash: a word is taken for a known one only if
+    their bytes are equal. It starts anew beyond a fixed number of words or blocks of bytes."""
 
     BITS = 20
-    LIMIT = 1 << 20
+    LIMIT, BLOCK_LIMIT = 1 << 20, 1 << 22
 
     def __init__(self):
         self.mark: int | None = None
 
     def _clear(self, mark: int) -> None:
-        self.mark, self.used, self.filled = mark, 0, 0
+        self.mark, self.used, self.filled, self.held = mark, 0, 0, 0
         self.key, self.word = np.zeros(1 << self.BITS, np.uint64), np.zeros(1 << self.BITS, np.int32)
         self.at, self.counts, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32)
+        self.blocks, self.first, self.length = np.zeros(4096, np.uint64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
 
     @staticmethod
     def _append(old: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
@@ -280,29 +283,42 @@ class WordStore:
         old[used : used + len(new)] = new
         return old
 
-    def encode(self, v: Vocabulary | LibraryVocabulary, buf: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All tokens held, and for each word its first token and its number of tokens; h has the words' hashes."""
-        if self.mark != v.mark or self.used > self.LIMIT:
+    def encode(self, v: Vocabulary | LibraryVocabulary, buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All tokens held, and for each word its first token and its number of tokens."""
+        if self.mark != v.mark or self.used > self.LIMIT or self.held > self.BLOCK_LIMIT:
             self._clear(v.mark)
+        blocks, first = tk.span_blocks(buf, s, e)
+        length = e - s
+        h = tk.block_hash(blocks, first, length)
         slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
         which = self.word[slot].astype(np.int64)
-        missed = np.flatnonzero((self.key[slot] != h) | (which == 0))
+        hit = (self.key[slot] == h) & (which != 0)
+        hit &= self.length[which] == length
+        own = np.flatnonzero(hit)
+        size = np.diff(first)
+        mine, theirs = tk.repeat_index(first[own], size[own]), tk.repeat_index(self.first[which[own]], size[own])
+        wrong = np.flatnonzero(blocks[mine] != self.blocks[theirs])
+        if len(wrong):
+            hit[np.repeat(own, size[own])[wrong]] = False
+        missed = np.flatnonzero(~hit)
         if len(missed):
-            own = h[missed]
-            order = np.argsort(own)
-            ordered = own[order]
-            new = np.append(True, ordered[1:] != ordered[:-1])
-            first = missed[order[new]]
-            ids, at, counts = v.words(buf, s[first], e[first])
-            number = self.used + 1 + np.arange(len(first))  # 0 marks an empty slot
+            n = size[missed]
+            mblocks, mfirst = blocks[tk.repeat_index(first[missed], n)], np.concatenate([[0], np.cumsum(n)])
+            one, number = tk.distinct(buf, s[missed], e[missed], (mblocks, mfirst, h[missed]))
+            fresh = missed[one]
+            ids, at, counts = v.words(buf, s[fresh], e[fresh])
+            new = self.used + 1 + np.arange(len(fresh))  # 0 marks an empty slot
+            fblocks = blocks[tk.repeat_index(first[fresh], size[fresh])]
             self.ids = self._append(self.ids, self.filled, ids)
-            self.at = self._append(self.at, self.used + 1, at + self.filled)
-            self.counts = self._append(self.counts, self.used + 1, counts)
-            self.key[slot[first]], self.word[slot[first]] = h[first], number
+            self.blocks = self._append(self.blocks, self.held, fblocks)
+            begin = self.held + np.cumsum(size[fresh]) - size[fresh]
+            for name, values in (("at", at + self.filled), ("counts", counts), ("first", begin), ("length", length[fresh])):
+                setattr(self, name, self._append(getattr(self, name), self.used + 1, values))
+            self.word[slot[fresh]] = new
             # Of words that share a slot, one stays; its key must be its own.
-            self.key[slot[first]] = h[first[self.word[slot[first]] - number[0]]]
-            which[missed[order]] = number[np.cumsum(new) - 1]
-            self.filled, self.used = self.filled + len(ids), self.used + len(first)
+            self.key[slot[fresh]] = h[fresh[self.word[slot[fresh]] - new[0]]]
+            which[missed] = new[number]
+            self.filled, self.used, self.held = self.filled + len(ids), self.used + len(fresh), self.held + len(fblocks)
         return self.ids, self.at[which], self.counts[which]
 
 
@@ -389,8 +405,7 @@ def encode_chunk(v: Vocabulary | LibraryVocabulary, buf: np.ndarray, off: np.nda
     s, e = split(buf, off, v.specials)
     if not len(s):
         return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
-    h = tk.span_hash(tk.prefix_hash(buf), s, e)
-    ids, at, n = WORDS.encode(v, buf, s, e, h)
+    ids, at, n = WORDS.encode(v, buf, s, e)
     before = np.concatenate([[0], np.cumsum(n)])
     return ids[tk.repeat_index(at, n)], before[np.searchsorted(s, off)]
 

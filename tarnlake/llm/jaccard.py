@@ -48,7 +48,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Distinct shingles of each document of a chunk in ascending order, and the documents' first ones."""
     low = tk.LOWER[buf]
     s, e, first = tk.words(low, off)
-    h = tk.span_hash(tk.prefix_hash(low), s, e)
+    h = tk.span_hash(low, s, e)
     w, at = tk.windows(h, first, SHINGLE)
     begin = np.searchsorted(at, first)
     out = []

@@ -35,7 +35,7 @@ def token_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Hashes of all tokens of a chunk, an end after each document, and the documents' first tokens."""
     low = tk.LOWER[buf]
     s, e, first = tk.words(low, off)
-    h = tk.span_hash(tk.prefix_hash(low), s, e)
+    h = tk.span_hash(low, s, e)
     return np.insert(h, first[1:], END), first + np.arange(len(first))
 
 

@@ -76,17 +76,6 @@ def gram_slots(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> Iterator[tuple[
         yield (tk.mix(h[row, place]) & _SLOT).astype(np.int64), parent[row]
 
 
-def _distinct(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of one place of each distinct word, and each word's number among those."""
-    h = tk.span_hash(tk.prefix_hash(buf), s, e)
-    order = np.argsort(h)
-    ordered = h[order]
-    new = np.append(True, ordered[1:] != ordered[:-1]) if len(h) else np.zeros(0, bool)
-    which = np.empty(len(h), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return order[new], which
-
-
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each language of a partition: its n-gram counts and its words by script."""
     counts: dict[str, np.ndarray] = {}
@@ -102,7 +91,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 table = counts.setdefault(name, np.zeros((1 << TABLE_BITS) + N_SCRIPTS, np.int64))
                 table[1 << TABLE_BITS :] += np.bincount(script[mine], minlength=N_SCRIPTS)
                 if len(own_s):
-                    one, which = _distinct(buf, own_s, own_e)
+                    one, which = tk.distinct(buf, own_s, own_e)
                     times = np.bincount(which, minlength=len(one))
                     for slot, row in gram_slots(buf, own_s[one], own_e[one]):
                         table[: 1 << TABLE_BITS] += np.bincount(slot, weights=times[row], minlength=1 << TABLE_BITS).astype(np.int64)
@@ -179,7 +168,7 @@ def label_words(model: LanguageModel, buf: np.ndarray, off: np.ndarray, switch:
     """Starts, ends and scripts of a chunk's words, the documents' first words, and the words' languages."""
     s, e, first = tk.words(buf, off)
     script = word_scripts(buf, s, e)
-    one, which = _distinct(buf, s, e)
+    one, which = tk.distinct(buf, s, e)
     scores = model.word_scores(buf, s[one], e[one], script[one])
     return s, e, script, first, viterbi(scores[which], first, switch)
 

@@ -47,26 +47,29 @@ def text_stats(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     s, e, first = tk.words(buf, off)
     n_words = np.diff(first)
     space, lead = tk.IS_SPACE[buf], (buf & 0xC0) != 0x80
-    prefix = tk.prefix_hash(buf)
-    h = tk.span_hash(prefix, s, e)
-
     ls, le = tk.spans(buf != 0x0A, off)
     inked = np.concatenate([[0], np.cumsum(~space, dtype=np.int64)])
     has = inked[le] > inked[ls]
     ls, le = ls[has], le[has]
     doc = np.searchsorted(off, ls, "right") - 1
-    key = tk.mix(tk.span_hash(prefix, ls, le) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    _, line = tk.distinct(buf, ls, le)
+    key = doc * (len(line) + 1) + line
     order = np.argsort(key)
     again = np.zeros(len(key), bool)
     again[1:] = key[order][1:] == key[order][:-1]
     dup_lines = np.bincount(doc[order][again], minlength=n)
 
-    w, at = tk.windows(h, first, 8)
+    # Windows of a document that share a hash are held against each other word by word.
+    _, word = tk.distinct(buf, s, e)
+    w, at = tk.windows(tk.mix(word.astype(np.uint64)), first, 8)
     wdoc = np.searchsorted(first, at, "right") - 1
     w = tk.mix(w + wdoc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     order = np.argsort(w)
+    near = np.flatnonzero(w[order][1:] == w[order][:-1])
+    a, b = at[order][near], at[order][near + 1]
+    near = near[(wdoc[order][near] == wdoc[order][near + 1]) & (word[a[:, None] + np.arange(8)] == word[b[:, None] + np.arange(8)]).all(1)]
     same = np.zeros(len(w) + 1, bool)
-    same[1:-1] = w[order][1:] == w[order][:-1]
+    same[near + 1] = True
     found = at[order][same[:-1] | same[1:]]
     cover = np.zeros(len(s) + 1, np.int64)
     np.add.at(cover, found, 1)

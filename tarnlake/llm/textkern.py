@@ -20,19 +20,8 @@ IS_SPACE[list(SPACE_BYTES)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, at least n of each."""
-    if len(_POWERS[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            x = np.full(size, base, U64)
-            x[0] = 1
-            _POWERS[k] = np.multiply.accumulate(x)
-    return _POWERS
+#: Masks of the lowest 0 .. 8 bytes of a number.
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -92,21 +81,67 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return s, e, np.searchsorted(s, off)
 
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    n = len(buf)
-    out = np.zeros(n + 1, U64)
-    np.cumsum((buf.astype(U64) + U64(1)) * _powers(n + 1)[0][:n], out=out[1:])
-    return out
+#: Odd multipliers of the words of a window, without a rule between them.
+_FACTORS = mix(np.arange(1, 65, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+
 
+def span_blocks(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each span as numbers of eight bytes, the last one filled up with zeros; and each span's first number (one more at the end)."""
+    n = (e - s + 7) >> 3
+    first = np.concatenate([[0], np.cumsum(n)])
+    at = np.repeat(s, n) + 8 * repeat_index(np.zeros(len(n), np.int64), n)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    every = np.ndarray(len(buf) + 1, "<u8", padded.data, strides=(1,))  # the eight bytes from each place on
+    return every[at] & _LOW_BYTES[np.minimum(np.repeat(e, n) - at, 8)], first
 
-def span_hash(prefix: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+
+def block_hash(blocks: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hash of spans from their span_blocks() and lengths: a sum of blocks mixed with their place, so that no arrangement of
+    the same bytes is favoured. Unequal spans share a hash with odds of 2^-64 a pair."""
+    n = np.diff(first)
+    place = (repeat_index(np.zeros(len(n), np.int64), n) + 1).astype(U64)
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(mix(blocks + U64(0x9E3779B97F4A7C15)) + place * U64(0xC2B2AE3D27D4EB4F)))])
+    return mix(total[first[1:]] - total[first[:-1]] + length.astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+def span_hash(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """64-bit hash of the bytes of each span; equal bytes have equal hashes wherever they stand."""
-    return mix((prefix[e] - prefix[s]) * _powers(len(prefix))[1][s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
+    return block_hash(*span_blocks(buf, s, e), e - s)
+
+
+def unlike(blocks: np.ndarray, first: np.ndarray, length: np.ndarray, others: np.ndarray, other_first: np.ndarray, other_length: np.ndarray) -> np.ndarray:
+    """Numbers of the spans whose bytes differ from those of their counterpart, given by its first place in others and its length."""
+    n = np.diff(first)
+    at = repeat_index(np.where(length == other_length, other_first, 0), np.where(length == other_length, n, 0))
+    mine = blocks if len(at) == len(blocks) else blocks[np.repeat(length == other_length, n)]
+    wrong = np.flatnonzero(mine != others[at])
+    out = np.flatnonzero(length != other_length)
+    if len(wrong):
+        owner = np.repeat(np.arange(len(n)), np.where(length == other_length, n, 0))
+        out = np.union1d(out, owner[wrong])
+    return out
 
 
-def hash_bytes(data: bytes) -> int:
-    b = np.frombuffer(data, np.uint8)
-    return int(span_hash(prefix_hash(b), np.zeros(1, np.int64), np.full(1, len(b)))[0])
+def distinct(buf: np.ndarray, s: np.ndarray, e: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of one span of each distinct content, and each span's number among those. Hashes find equals, bytes decide. known may
+    have the spans' blocks, firsts and hashes."""
+    length = e - s
+    blocks, first = span_blocks(buf, s, e) if known is None else known[:2]
+    h = block_hash(blocks, first, length) if known is None else known[2]
+    order = np.argsort(h, kind="stable")
+    ordered = h[order]
+    new = np.append(True, ordered[1:] != ordered[:-1]) if len(h) else np.zeros(0, bool)
+    one, which = order[new], np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
+    odd = unlike(blocks, first, length, blocks, first[one[which]], length[one[which]])
+    if len(odd):  # one hash, different bytes
+        seen: dict[bytes, int] = {}
+        for k in odd.tolist():
+            which[k] = seen.setdefault(buf[s[k] : e[k]].tobytes(), len(one) + len(seen))
+        extra = np.empty(len(seen), np.int64)
+        extra[which[odd][::-1] - len(one)] = odd[::-1]
+        one = np.concatenate([one, extra])
+    return one, which
 
 
 def windows(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +154,7 @@ def windows(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np
     at = np.flatnonzero(room)
     out = np.zeros(n - size + 1, U64)
     for k in range(size):
-        out = out * U64(0xA24BAED4963EE407) + h[k : n - size + 1 + k]
+        out += (h * _FACTORS[k])[k : n - size + 1 + k]
     return mix(out[at] + U64(size)), at
 
 

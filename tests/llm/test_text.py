@@ -82,6 +82,69 @@ def test_bpe_fuzz(kind):
         assert ids[first[k] : first[k + 1]].tolist() == r.ids, made[k]
 
 
+def thue_morse(n, a="a", b="b"):
+    """Two strings of n letters in an arrangement and its complement, which polynomial hashes modulo a power of two confuse."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join(a if x else b for x in bits), "".join(b if x else a for x in bits)
+
+
+ARRANGED = [1 << k for k in range(3, 17)]
+
+
+def test_arranged_words(spark):
+    """Arrangements and their complements as words, lines and whole texts, in all operators that know words by hashes."""
+    made = [t for n in ARRANGED for t in thue_morse(n)]
+    lines = [f"{x} z z z\n{y} z z z" for x, y in (thue_morse(n) for n in ARRANGED[:10])]
+    wordy = [x.replace("a", "left ").replace("b", "right ") for n in ARRANGED[:8] for x in thue_morse(n)]
+    texts = made + lines + wordy
+    df = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string").coalesce(1)
+    t = Tokenizer.from_file(TOKENIZER)
+    ids = {k: t.encode(x, add_special_tokens=False).ids for k, x in enumerate(texts)}
+    got = {r["doc_id"]: r for r in bpe.round_trip_digests(df, TOKENIZER).collect()}
+    files = {r["doc_id"]: r for r in token_files.token_file_round_trip(df, TOKENIZER).collect()}
+    stats = {r["doc_id"]: r for r in quality.quality_verdicts(df).collect()}
+    packed = defaultdict(list)
+    for r in packing.pack_documents(df, TOKENIZER).collect():
+        packed[r["doc_id"]].append(r)
+    for k, x in enumerate(texts):
+        assert got[k]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids[k])).encode()).hexdigest() and got[k]["decoded_sha256"] == hashlib.sha256(x.encode()).hexdigest()
+        assert files[k]["ids_crc32"] == zlib.crc32(np.array([*ids[k], 2], "<u4"))
+        for r in packed[k]:
+            assert r["ids_crc32"] == zlib.crc32(np.array([*ids[k], 0][r["start"] : r["start"] + r["length"]], "<u4"))
+        assert tuple(stats[k][c] for c in quality.COUNTS) == brute_stats(x), k
+    sets = {k: shingles(x) for k, x in enumerate(texts)}
+    expected = brute_components(sets, jaccard_linked)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()} == expected
+    scored = {r["doc_id"]: r for r in kneser_ney.score_documents(df, F.col("doc_id") % 2 == 1).collect()}
+    known = {w for k in ids if k % 2 == 0 for w in texts[k].split()}
+    assert {k: r["n_known"] for k, r in scored.items()} == {k: 1 + sum(w in known for w in x.split()) for k, x in enumerate(texts)}
+
+
+def test_equal_hashes(monkeypatch):
+    """With one hash for all words, bytes still tell them apart."""
+    monkeypatch.setattr(textkern, "block_hash", lambda blocks, first, length: np.zeros(len(length), np.uint64))
+    v, t = bpe.Vocabulary.load(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    made = ["the house and the river the stone", "stone by the river", "", "house" * 9 + " " + "stone" * 9 + " " + "house" * 9]
+    buf, off = textkern.column_bytes(pa.array(made))
+    s, e, _ = textkern.words(buf, off)
+    one, which = textkern.distinct(buf, s, e)
+    spans = [buf[a:b].tobytes() for a, b in zip(s, e, strict=True)]
+    assert [spans[one[k]] for k in which] == spans and len(one) == len(set(spans))
+    store = bpe.WordStore()
+    for _ in range(2):
+        ids, at, n = store.encode(v, buf, s, e)
+        assert [ids[a : a + c].tolist() for a, c in zip(at, n, strict=True)] == [t.encode(x.decode(), add_special_tokens=False).ids for x in spans]
+
+
+def test_short_specials():
+    """Special tokens of any length are looked up, however many words of their length there are."""
+    v = bpe.Vocabulary.load(TOKENIZER)
+    v.specials = {b"<s>": 7, b"<|endoftext|>": 50256}
+    buf, off = textkern.column_bytes(pa.array(["a<s>b <s>", "<|endoftext|> abc <s"]))
+    ids, first = bpe.encode_chunk(v, buf, off)
+    assert ids[: first[1]].tolist().count(7) == 2 and ids[first[1]] == 50256 and 7 not in ids[first[1] :]
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_token_files(docs, reference, kind):
     got = {r["doc_id"]: r for r in token_files.token_file_round_trip(docs, TOKENIZER, 2, kind=kind).collect()}
