@@ -1,9 +1,12 @@
 """Secret scans: fixed patterns, and an assignment-aware lexer for source and configuration syntax.
 
-The fixed patterns give the base spans. The lexer reads a text into name-literal pairs (`name = "literal"`, `name: literal`,
-`"name": "literal"`, `export NAME=literal`, `name := literal`, `name => literal`, also with literals joined by + or .), keeps
-the constants it has seen, follows names that are assigned from other names, and scores each literal by how sensitive its
-target names are and by how random it looks. Literals that score high enough are reported as `named` spans.
+The fixed patterns give the base spans. The lexer reads a text into name-literal pairs: `name = "literal"`, `name: literal`,
+`"name": "literal"`, `export NAME=literal`, `name := literal`, `name => literal`, call arguments (`name("literal")`,
+`f("name", "literal")`), literals joined by +, . or by standing side by side, triple-quoted literals and indented blocks
+(`name: |`). It starts from the operators and reads names backwards, so that every character is looked at a fixed number of
+times, however long names, blanks and literals are. Names that are assigned from other names pass their sensitivity on to
+them, wherever in the text the assignments stand. Each literal is scored by how sensitive its target names are and by how random
+it looks; literals that score high enough are reported as `named` spans.
 """
 
 from __future__ import annotations
@@ -37,14 +40,18 @@ SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3,
 IS_HEX = np.zeros(256, bool)
 IS_HEX[list(b"0123456789abcdef")] = True
 
-_LEX = re.compile(
-    r"""(?P<name>[A-Za-z_$][\w$]*(?:(?:\.|->|::|-)[A-Za-z_$][\w$]*)*)["'\]]{0,2}[ \t]*+(?P<op>:=|=>|=(?!=)|:(?!:|//))[ \t]*+(?P<value>"{3}(?:[^\\]|\\[\s\S])*?"{3}|'{3}(?:[^\\]|\\[\s\S])*?'{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s"'`,;(){}\[\]<>#]+)""",
-    re.ASCII,
-)
-#: Blanks and line ends (a line of its own may begin with +: no name that is assigned to there is joined).
-_JOIN = re.compile(r"""(?:[ \t]|\\?\r?\n)*+[+.](?:[ \t]|\\?\r?\n)*+("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_$][\w$]*+(?![ \t]*[:=]))""", re.ASCII)
-TRIPLE = ('"""', "'''")
-_NAME = re.compile(r"[A-Za-z_$][\w$.]*\Z", re.ASCII)
+#: What an assignment or an argument is recognised by; a bracket or comma counts only before a literal.
+_OPERATOR = re.compile(r"""(?P<set>:=|=>|(?<![=!<>])=(?!=)|(?<!:):(?!:|//))|\((?=\s*+["'])|,(?=\s*+["'])""")
+#: Read backwards from an operator, on the reversed text: blanks, quotes or a bracket, and a name.
+_BEFORE = re.compile(r"""[ \t]*+(?P<shut>["'\]]{0,2})(?P<name>[\w$]++(?:(?:\.|>-|::|-)[\w$]++)*+)(?P<open>["']?)""", re.ASCII)
+_TEXT = r"""(?:"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+')"""
+_VALUE = re.compile(rf"""[ \t]*+(?:(?P<triple>"{{3}}|'{{3}})|(?P<block>[|>][+-]?[ \t]*+(?=\r?\n))|(?:\(\s*+)?(?P<text>{_TEXT}|`[^`\n]*+`)|(?P<plain>[^\s"'`,;(){{}}\[\]<>#]++))""", re.ASCII)
+_ARGUMENT = re.compile(rf"\s*+(?P<text>{_TEXT})", re.ASCII)
+#: After a literal: another one beside it, or an operator that joins one or a name on (a line of its own may begin with +: no name that
+#: is assigned to there is joined).
+_JOIN = re.compile(rf"""(?:[ \t]|\\?\r?\n)*+(?:[+.](?:[ \t]|\\?\r?\n)*+)?(?!"{{3}}|'{{3}})(?P<text>{_TEXT})(?![ \t]*+[:=])|(?:[ \t]|\\?\r?\n)*+[+.](?:[ \t]|\\?\r?\n)*+(?P<name>[A-Za-z_$][\w$]*+)(?![ \t]*+[:=])""", re.ASCII)
+_NAME = re.compile(r"[A-Za-z_$][\w$.]*+\Z", re.ASCII)
+_LINE = re.compile(r"\r?\n([ \t]*+)([^\r\n]*+)")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -101,70 +108,168 @@ def literal_weight(value: str) -> int:
     return (bits >= 3.0) + (kinds >= 2) + (len(value) >= 16 and any(c.isdigit() for c in value))
 
 
-def _assignments(text: str) -> Iterator[re.Match[str]]:
-    """Matches of _LEX from left to right; a triple-quoted text is also read inside, as it may hold assignments."""
-    at = 0
-    while m := _LEX.search(text, at):
-        yield m
-        at = m.start("value") + 3 if m["value"].startswith(TRIPLE) else m.end()
+class Literal(NamedTuple):
+    """A literal's place and its characters without blanks, line ends and joints."""
 
-
-def named_spans(text: str, least: int = 4) -> list[Span]:
-    """Literals whose names and looks together score least or more. A constant that is assigned on to a sensitive name is
-    reported where it stands."""
-    constants: dict[str, tuple[int, int, str]] = {}
-    weight: dict[tuple[int, int], int] = {}
-    value_of: dict[tuple[int, int], str] = {}
-    for m in _assignments(text):
-        raw, (a, b) = m["value"], m.span("value")
-        quoted = raw[0] in "\"'`" and len(raw) > 1 and raw[-1] == raw[0]
-        name = m["name"]
-        places: list[tuple[int, int, str]] = []
-        if quoted:
-            if raw.startswith(TRIPLE):  # without the blanks and line ends around the text
-                own = raw[3:-3].strip()
-                a += 3 + len(raw[3:]) - len(raw[3:].lstrip()) if own else 3
-                places.append((a, a + len(own), own))
+    start: int
+    end: int
+    value: str
+
+
+def _bare(text: str) -> str:
+    """The characters of a literal of several lines, without the lines around a key."""
+    lines = [x.strip() for x in text.split("\n")]
+    return "".join(x for x in lines if not x.startswith("-----")) if len(lines) > 1 else text.strip()
+
+
+def _trimmed(text: str, a: int, b: int) -> Literal:
+    """The text between a and b without blanks and line ends around it."""
+    own = text[a:b]
+    left = len(own) - len(own.lstrip())
+    return Literal(a + left, max(a + left, a + len(own.rstrip())), _bare(own))
+
+
+def _block_end(text: str, at: int, line_start: int) -> int:
+    """End of the lines from at on that are indented deeper than the line that starts at line_start."""
+    indent = len(text) - line_start
+    for k in range(line_start, len(text)):
+        if text[k] not in " \t":
+            indent = k - line_start
+            break
+    end = at
+    while m := _LINE.match(text, end):
+        if m[2] and len(m[1]) <= indent:
+            break
+        end = m.end()
+    return end
+
+
+class Assignments:
+    """Name-literal pairs and name-name pairs of a text, found from left to right."""
+
+    def __init__(self, text: str):
+        self.literals: dict[str, list[Literal]] = {}
+        self.sources: dict[str, set[str]] = {}
+        self.text, self.back = text, text[::-1]
+        at = block = 0  # ends of the last value and of the last block
+        closed = {'"""': True, "'''": True}
+        while op := _OPERATOR.search(text, at):
+            at = op.end()
+            before = _BEFORE.match(self.back, len(text) - op.start())
+            if not before:
+                continue
+            # A name has no digit at its start; a comma stands after a name in quotes, a bracket after a bare one.
+            name = before["name"][::-1].lstrip("0123456789.:>-")
+            if not name:
+                continue
+            if not op["set"]:
+                quoted = bool(before["shut"]) and before["shut"][0] == before["open"]
+                value = _ARGUMENT.match(text, op.end()) if (quoted if op[0] == "," else not before["shut"]) and name_weight(name) else None
+                if value:
+                    at = self._literal(name, value)
+                continue
+            value = _VALUE.match(text, op.end())
+            if not value:
+                continue
+            if triple := value["triple"]:
+                start = value.end()
+                end = self._close(triple, start) if closed[triple] else -1
+                if end < 0:
+                    closed[triple] = False  # nothing closes it: no later one is read as an opening
+                    continue
+                self._add(name, _trimmed(text, start, end))
+                at = start  # what is inside may hold assignments too
+            elif value["block"] is not None:
+                if op.start() >= block and op[0] == ":":
+                    block = _block_end(text, value.end(), text.rfind("\n", 0, op.start()) + 1)
+                    self._add(name, _trimmed(text, value.end(), block))
+                at = value.end()
+            elif value["text"]:
+                at = self._literal(name, value)
             else:
-                places.append((a + 1, b - 1, raw[1:-1]))
-        elif raw in constants:
-            places.append(constants[raw])
-        elif not _NAME.match(raw) or any(c.isdigit() for c in raw):
-            places.append((a, b, raw.rstrip(".")))
-        joined, at = "".join(p[2] for p in places), b
-        while quoted and (j := _JOIN.match(text, at)):
-            more = j[1]
-            if more[0] in "\"'":
-                joined += more[1:-1]
-            elif more in constants:
-                places.append(constants[more])
-                joined += constants[more][2]
+                raw, (a, b) = value["plain"], value.span("plain")
+                if _NAME.match(raw):
+                    self._source(name, raw)
+                if not _NAME.match(raw) or any(c.isdigit() for c in raw):
+                    own = raw.rstrip(".")
+                    self._add(name, Literal(a, b, own))
+                at = b
+
+    def _close(self, triple: str, at: int) -> int:
+        """Place of the quotes that close a triple-quoted literal; a backslash takes the next character."""
+        end = self.text.find(triple, at)
+        while end >= 0:
+            slashes = end
+            while slashes > at and self.text[slashes - 1] == "\\":
+                slashes -= 1
+            if (end - slashes) % 2 == 0:
+                return end
+            end = self.text.find(triple, end + 1)
+        return -1
+
+    def _literal(self, name: str, value: re.Match[str]) -> int:
+        """Adds a literal with all that is joined to it; returns the end of that."""
+        (a, b), raw = value.span("text"), value["text"]
+        parts, at = [raw[1:-1]], b
+        while raw[0] != "`" and (more := _JOIN.match(self.text, at)):
+            if more["text"]:
+                parts.append(more["text"][1:-1])
             else:
-                break
-            at = j.end()
-        if not places:
-            continue
-        first = places[0]
-        if at > b and quoted:
-            first = (first[0], max(first[1], at - 1), joined)
-        elif quoted:
-            first = (first[0], first[1], joined)
-        constants[name] = constants[name.rsplit(".", 1)[-1]] = first
-        w = name_weight(name)
-        for p in [first, *places[1:]]:
-            k = (p[0], p[1])
-            weight[k] = max(weight.get(k, 0), w)
-            value_of[k] = p[2]
-    return sorted(Span(a, 3, b) for (a, b), w in weight.items() if b > a and w and w + literal_weight(value_of[a, b]) >= least and literal_weight(value_of[a, b]))
+                self._source(name, more["name"])
+            at = more.end()
+        self._add(name, Literal(a + 1, at - 1 if at > b and len(parts) > 1 else b - 1, "".join(parts)))
+        return at
+
+    def _add(self, name: str, literal: Literal) -> None:
+        for key in {name, name.rsplit(".", 1)[-1]}:
+            self.literals.setdefault(key, []).append(literal)
+
+    def _source(self, name: str, other: str) -> None:
+        for key in {name, name.rsplit(".", 1)[-1]}:
+            self.sources.setdefault(key, set()).add(other)
+
+    def weights(self) -> dict[str, int]:
+        """How sensitive each name is: by itself, or by a name that gets its value, through any number of names."""
+        out: dict[str, int] = {}
+        own = {name: name_weight(name) for name in {*self.literals, *self.sources}}
+        for w in (3, 2, 1):
+            todo = [name for name, x in own.items() if x == w and name not in out]
+            while todo:
+                name = todo.pop()
+                if name not in out:
+                    out[name] = w
+                    todo += self.sources.get(name, ())
+        return out
+
+
+def named_spans(text: str, least: int = 4) -> list[Span]:
+    """Literals whose names and looks together score least or more. A constant that is assigned on to a sensitive name, before or
+    after, is reported where it stands."""
+    found, best = Assignments(text), {}
+    for name, w in found.weights().items():
+        for x in found.literals.get(name, ()):
+            best[x] = max(best.get(x, 0), w)
+    out = set()
+    for x, w in best.items():
+        looks = literal_weight(x.value) if x.end > x.start else 0
+        if looks and w + looks >= least:
+            out.add(Span(x.start, 3, x.end))
+    return sorted(out)
 
 
 def find_spans(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans with those of the lexer, both by start and then kind."""
     base = base_spans(text)
-    more = named_spans(text) if "=" in text or ":" in text else []
+    more = named_spans(text) if any(c in text for c in "=:(,") else []
     return base, sorted(base + more)
 
 
+def has_quote(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """For each byte of a chunk, whether its document has a quotation mark."""
+    total = np.concatenate([[0], np.cumsum((buf == 0x22) | (buf == 0x27), dtype=np.int64)])
+    return np.repeat(total[off[1:]] > total[off[:-1]], np.diff(off))
+
+
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[str, list[Span], list[Span]]]]]:
     """Rows of each chunk with text and spans; whole chunks are searched for cues first, as few texts have any."""
     for batch in batches:
@@ -181,7 +286,10 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBat
                     k = int(np.searchsorted(off, p, "right")) - 1
                     cued[k] = True
                     p = low.find(cue, int(off[k + 1]))
-            marks = np.flatnonzero((buf == 0x3D) | (buf == 0x3A))
+            # An operator, or a bracket or comma that a quote or white space follows.
+            after = np.append(buf[1:], 0x20)
+            quote = (after == 0x22) | (after == 0x27) | tk.IS_SPACE[after]
+            marks = np.flatnonzero((buf == 0x3D) | (buf == 0x3A) | (((buf == 0x28) | (buf == 0x2C)) & quote & has_quote(buf, off)))
             lexed[np.unique(np.searchsorted(off, marks, "right") - 1)] = True
             out = []
             for k in range(n):

@@ -362,6 +362,66 @@ def test_named_secrets():
     assert shown(f'text = """\npassword = "{key}"\n"""') == [key]
 
 
+def test_named_secrets_by_construction():
+    """Statements whose pairs are known when they are made, in any order; sensitivity by the closure of all assignments."""
+    rng = np.random.default_rng(11)
+    for _ in range(150):
+        text, pairs, flows = "", [], set()  # (name, start, end, value); (target, source)
+        names = [f"c{i}" for i in range(6)] + ["db.password", "apiKey", "user_token", "session"]
+        for _ in range(rng.integers(2, 14)):
+            name, other = rng.choice(names), rng.choice(names[:6])
+            value = "".join(rng.choice(list("aB3$xY9!qwPz7KmN"), rng.integers(6, 20)))
+            kind = rng.integers(0, 11)
+            quote = rng.choice(['"', "'"])
+            if kind == 0:
+                text += f"  {name}   =   {other};\n"
+                flows.add((name, other))
+                continue
+            if kind == 1:
+                text += "it's plain: prose, with (brackets) and 'quotes' -> nothing == nothing\n"
+                continue
+            head, tail = {
+                2: (f"{name} = {quote}", quote), 3: (f'"{name}": {quote}', quote + ","), 4: (f"export {name}:={quote}", quote), 5: (f"{name} => {quote}", quote), 6: (f'{name} = """\n  ', '\n"""'), 7: (f"{name}: |\n    ", "\nnext"),
+                8: (f"{name}({quote}", quote + ")"), 9: (f'put("{name}", {quote}', quote + ")"), 10: (f"{name} = (\n  {quote}", quote + ")"),
+            }[int(kind)]
+            joined = kind in (2, 3, 10) and rng.random() < 0.4
+            body = value[:3] + quote + rng.choice([" + ", "\n   ", " . "]) + quote + value[3:] if joined else value
+            text += head
+            pairs.append((name, len(text), len(text) + len(body), value, kind in (8, 9)))
+            text += body + tail + "\n"
+        reach = {(n, n) for n in names} | flows | {(t.rsplit(".", 1)[-1], s) for t, s in flows}
+        for _ in names:
+            reach |= {(a, d) for a, b in reach for c, d in reach if b == c}
+        expected = {}
+        for name, a, b, value, call in pairs:
+            w = max(secret_scan.name_weight(t) for t, s in reach if s in (name, name.rsplit(".", 1)[-1]))
+            if call and not secret_scan.name_weight(name):
+                continue
+            expected[a, b] = secret_scan.literal_weight(value) and w and w + secret_scan.literal_weight(value) >= 4
+        assert [(s.start, s.end) for s in secret_scan.named_spans(text)] == sorted(k for k, v in expected.items() if v), text
+
+
+def test_constants_in_both_directions():
+    value = "aB3$xY9!qwPz7"
+    for t in (f'k = "{value}"\npassword = k', f'password = k\nk = "{value}"', f'password = j\nj = self.k\nself.k = "{value}"'):
+        (s,) = secret_scan.named_spans(t)
+        assert t[s.start : s.end] == value
+    assert not secret_scan.named_spans(f'k = "{value}"\nplace = k\npassword = place2')
+    key = "MIIEpQIBAAKCAQEA3Tz2mr7SZiAMfQyuvBjM9Oi\nNd3rKCVp1n2Q9A8fPQe4oY1XLmK0y"
+    for t in (f'private_key = """-----BEGIN KEY-----\n{key}\n-----END KEY-----"""', "private_key: |\n  " + key.replace("\n", "\n  ") + "\nother: 1"):
+        (s,) = secret_scan.named_spans(t)
+        assert "MIIEpQ" in t[s.start : s.end] and "XLmK0y" in t[s.start : s.end] and "other" not in t[s.start : s.end]
+
+
+@pytest.mark.parametrize("text", ["note\n" + "a" * 5_000_000 + "\nk: v = 1", "a.b" * 1_700_000 + "= 1", " " * 2_500_000 + "=" + " " * 2_500_000 + ":", "a=" * 2_500_000, "a: |\n " * 300_000, 'x="""' + '\\"""' * 1_000_000, "(\n" * 2_000_000 + '"'])
+def test_lexer_is_linear(text):
+    import time
+
+    start = time.process_time()
+    assert secret_scan.named_spans(text) == []
+    assert time.process_time() - start < 8  # a quadratic lexer takes hours
+
+
 def brute_stats(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     seen, dup, at = set(), 0, defaultdict(list)
