@@ -9,9 +9,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import euclidean, total
+from ..functions.expressions import total
 from ..session import cut
-from .kernels import components, near_pairs, nearest, pairs
+from .kernels import components, near_pairs, positions
+from .neighbours import BLOCK_ROWS, distance_sums, distance_sums_on_a_line, distances, nearest
 from .splits import sample_rows
 
 
@@ -70,14 +71,25 @@ class KMeans:
         return f"k-means: k = {self.k}, inertia {self.inertia:.6g}, {self.iterations} steps"
 
 
+#: Labels up to which sums on a line are found from running totals, two for each label.
+LINE_LABELS = 64
+
+
 def silhouette_samples(df: DataFrame, columns: list[str], label: str, id_col: str) -> DataFrame:
-    """id, label, a, b, s of each row: all rows against all rows, summed by cluster before they are shuffled."""
-    d = pairs(df, df, columns, euclidean, id_col, id_col, F.col("id_l") != F.col("id_r"))
-    labels = df.select(F.col(id_col).alias("id_r"), F.col(label).alias("other"))
-    mean = d.join(labels, "id_r").groupBy("id_l", "other").agg(F.avg("distance").alias("m"))
-    own = df.select(F.col(id_col).alias("id_l"), F.col(label).alias("label"))
-    both = own.join(mean, "id_l", "left").groupBy("id_l", "label").agg(F.coalesce(F.max(F.when(F.col("other") == F.col("label"), F.col("m"))), F.lit(0.0)).alias("a"), F.coalesce(F.min(F.when(F.col("other") != F.col("label"), F.col("m"))), F.lit(0.0)).alias("b"))
-    return both.select(F.col("id_l").alias("id"), "label", "a", "b", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("s"))
+    """id, label, a, b, s of each row, from the sums of its distances from each cluster: by running totals if there is one column
+    and more rows than one block has, else block by block. A cluster of one row has s = 0."""
+    sizes = df.groupBy(F.col(label).alias("other")).agg(F.count("*").alias("n"))
+    few = [r[0] for r in sizes.select("other").orderBy("other").limit(LINE_LABELS + 1).collect()]
+    if len(columns) == 1 and len(few) <= LINE_LABELS and sizes.agg(F.sum("n")).first()[0] > BLOCK_ROWS:
+        sums = distance_sums_on_a_line(df, columns[0], label, id_col, few)
+    else:
+        sums = distance_sums(df, columns, label, id_col)
+    own = df.select(F.col(id_col).alias("id"), F.col(label).alias("label"))
+    mine = F.col("other") == F.col("label")
+    mean = F.try_divide(F.col("total"), F.when(mine, F.col("n") - 1).otherwise(F.col("n")))
+    met = sums.join(F.broadcast(sizes) if len(few) <= LINE_LABELS else sizes, "other").join(own, "id")
+    both = met.groupBy("id", "label").agg(F.coalesce(F.max(F.when(mine, mean)), F.lit(0.0)).alias("a"), F.coalesce(F.min(F.when(~mine, mean)), F.lit(0.0)).alias("b"))
+    return both.select("id", "label", "a", "b", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("s"))
 
 
 def silhouette_score(df: DataFrame, columns: list[str], label: str, id_col: str) -> float:
@@ -100,26 +112,86 @@ class DBSCAN:
     core: DataFrame | None = None
 
     def fit_predict(self, df: DataFrame, columns: list[str], id_col: str) -> DataFrame:
-        self.columns, self.id_col = columns, id_col
-        near = cut(near_pairs(df, df, columns, self.eps, id_col, id_col))
-        core = cut(near.groupBy(F.col("id_l").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= self.min_samples).select("id"))
-        linked = near.join(core.withColumnRenamed("id", "id_l"), "id_l")
-        edges = linked.join(core.withColumnRenamed("id", "id_r"), "id_r").select(F.col("id_l").alias("u"), F.col("id_r").alias("v"))
-        label = components(edges)
+        """df with cluster. Up to three columns are gridded so finely that rows of one cell are neighbours: a cell of min_samples rows
+        is core as a whole and one node of the graph, so only rows of thin cells are held against others row by row. With more columns
+        all pairs within eps are formed. Rows with a missing value are noise."""
+        self.columns, self.id_col, self.rounds = columns, id_col, []
+        rows = df.select(F.col(id_col).alias("id"), *(F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(columns)))
+        near, core, edges = self._grid(rows) if len(columns) <= 3 else self._pairs(rows)
+        label = components(edges.union(core.select(F.col("node").alias("u"), F.col("node").alias("v")).distinct()), rounds=self.rounds)
         roots = label.select("component").distinct()
-        from .kernels import positions
-
         number = positions(roots, [F.col("component")], "cluster").withColumn("cluster", F.col("cluster").cast("int"))
-        cores = cut(label.join(number, "component").select(F.col("node").alias("id"), "cluster"))
-        reached = linked.join(cores.withColumnRenamed("id", "id_l"), "id_l").groupBy(F.col("id_r").alias("id")).agg(F.min("cluster").alias("reach"))
-        self.core = df.select(id_col, *columns).join(cores, F.col(id_col) == F.col("id")).drop("id")
-        every = reached.join(cores, "id", "left").select(F.col("id").alias("__id"), F.coalesce("cluster", "reach").alias("__c"))
+        cores = cut(core.join(label.join(number, "component").select("node", "cluster"), "node").select("id", "cluster"))
+        reached = near.join(cores.withColumnRenamed("id", "id_r"), "id_r").groupBy(F.col("id_l").alias("id")).agg(F.min("cluster").alias("reach"))
+        self.core = df.select(id_col, *columns).join(cores.withColumnRenamed("id", "__i"), F.col(id_col) == F.col("__i")).drop("__i")
+        every = rows.select("id").join(cores, "id", "left").join(reached, "id", "left").select(F.col("id").alias("__id"), F.coalesce("cluster", "reach").alias("__c"))
         return df.join(every, F.col(id_col) == F.col("__id"), "left").withColumn("cluster", F.coalesce("__c", F.lit(-1))).drop("__id", "__c")
 
+    def _pairs(self, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Pairs within eps, core rows with their node (themselves), and edges between nodes."""
+        near = cut(near_pairs(rows, rows, rows.columns[1:], self.eps, "id", "id"))
+        core = cut(near.groupBy(F.col("id_l").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= self.min_samples).select("id", F.col("id").alias("node")))
+        linked = near.join(core.select(F.col("id").alias("id_l")), "id_l").join(core.select(F.col("id").alias("id_r")), "id_r")
+        return near, core, linked.select(F.col("id_l").alias("u"), F.col("id_r").alias("v"))
+
+    def _grid(self, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """As _pairs(); near has pairs of rows of thin cells with rows of any cell, and a cell of core rows is one node."""
+        x = rows.columns[1:]
+        d, side = len(x), self.eps / math.sqrt(len(x)) * (1 - 1e-9) or 1.0
+        reach = range(-2, 3)  # eps is less than two sides
+        keys = [f"g{j}" for j in range(d)]
+        gridded = rows.where(F.lit(True) if not x else ~F.isnan(total([F.col(c) for c in x]))).withColumns({g: F.floor(F.col(c) / F.lit(side)) for g, c in zip(keys, x, strict=True)})
+        cells = gridded.groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("rep"), *(f(c).alias(f"{a}{c}") for c in x for a, f in (("l", F.min), ("h", F.max))))
+        cells = cut(cells.where(F.col(keys[0]).isNotNull()))
+        placed = cut(gridded.join(cells.select(*keys, "n", "rep"), keys))
+        around = lambda df: self._around(df, keys, reach)
+        thin = around(placed.where(F.col("n") < self.min_samples).select(F.col("id").alias("id_l"), *(F.col(c).alias(f"a{c}") for c in x), *keys))
+        gap = F.sqrt(total([(F.col(f"a{c}") - F.col(c)) * (F.col(f"a{c}") - F.col(c)) for c in x]))
+        near = cut(thin.join(placed, keys).where(gap <= F.lit(float(self.eps))).select("id_l", F.col("id").alias("id_r")))
+        busy = near.groupBy(F.col("id_l").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= self.min_samples).select("id", F.col("id").alias("node"))
+        core = cut(placed.where(F.col("n") >= self.min_samples).select("id", F.col("rep").alias("node")).union(busy))
+        ends = near.join(core.select(F.col("id").alias("id_l"), F.col("node").alias("u")), "id_l").join(core.select(F.col("id").alias("id_r"), F.col("node").alias("v")), "id_r").select("u", "v")
+        return near, core, ends.union(self._dense_edges(placed, cells.where(F.col("n") >= self.min_samples), keys, x, around))
+
+    @staticmethod
+    def _around(df: DataFrame, keys: list[str], reach: range) -> DataFrame:
+        """df once for each neighbouring cell, whose keys replace its own."""
+        for g in keys:
+            df = df.withColumn(g, F.explode(F.array(*(F.col(g) + F.lit(k) for k in reach))))
+        return df
+
+    def _dense_edges(self, placed: DataFrame, dense: DataFrame, keys: list[str], x: list[str], around) -> DataFrame:
+        """Edges between core cells that hold two rows within eps of each other. Boxes decide where they can."""
+        eps = F.lit(float(self.eps))
+        sides = ["rep", "n", *(f"{a}{c}" for c in x for a in "lh")]
+        met = around(dense.select(*(F.col(c).alias(f"a_{c}") for c in sides), *keys)).join(dense.select(*sides, *keys), keys).where("a_rep < rep")
+        gaps = [F.greatest(F.lit(0.0), F.col(f"l{c}") - F.col(f"a_h{c}"), F.col(f"a_l{c}") - F.col(f"h{c}")) for c in x]
+        width = [F.greatest(F.col(f"h{c}") - F.col(f"a_l{c}"), F.col(f"a_h{c}") - F.col(f"l{c}")) for c in x]
+        norm = lambda parts: F.sqrt(total([p * p for p in parts]))
+        met = met.withColumn("gap", norm(gaps)).withColumn("width", norm(width)).where(F.col("gap") <= eps)
+        if len(x) == 1:  # two cells' nearest rows are their ends
+            return met.select(F.col("a_rep").alias("u"), F.col("rep").alias("v"))
+        met = cut(met.select("a_rep", "a_n", "rep", "n", "width"))
+        sure = met.where(F.col("width") <= eps).select(F.col("a_rep").alias("u"), F.col("rep").alias("v"))
+        open_ = met.where(F.col("width") > eps).withColumn("bi", F.explode(F.sequence(F.lit(0), F.floor(F.col("a_n") / BLOCK_ROWS).cast("int")))).withColumn("bj", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / BLOCK_ROWS).cast("int"))))
+        block = F.pmod(F.xxhash64("id"), F.floor(F.col("n") / BLOCK_ROWS).cast("int") + 1).cast("int")
+        dealt = placed.where(F.col("n") >= self.min_samples).select("id", "rep", *x, block.alias("b"))
+        pairs = open_.select(F.col("a_rep").alias("u"), F.col("rep").alias("v"), "bi", "bj")
+        left = pairs.join(dealt.select(F.col("rep").alias("u"), F.col("b").alias("bi"), *x), ["u", "bi"])
+        right = pairs.join(dealt.select(F.col("rep").alias("v"), F.col("b").alias("bj"), *x), ["v", "bj"])
+        right = right.select(*(F.col(c).alias(f"r_{c}") for c in ["u", "v", "bi", "bj", *x]))
+        kind, limit, key = dict(placed.dtypes)["rep"], float(self.eps), ["u", "v", "bi", "bj"]
+
+        def touch(_, a, b):
+            hit = len(a) and len(b) and any((distances("euclidean", a[x].to_numpy()[k : k + 512], b[[f"r_{c}" for c in x]].to_numpy()) <= limit).any() for k in range(0, len(a), 512))
+            return (a if hit else a.iloc[:0])[["u", "v"]].head(1)
+
+        touched = left.select(*key, *x).groupBy(*key).cogroup(right.groupBy(*(f"r_{c}" for c in key))).applyInPandas(touch, f"u {kind}, v {kind}")
+        return sure.union(touched)
+
     def predict(self, df: DataFrame) -> DataFrame:
         """Cluster of the nearest core point within eps, else -1."""
-        near = near_pairs(df, self.core, self.columns, self.eps, self.id_col, self.id_col)
-        first = near.withColumn("k", F.row_number().over(Window.partitionBy("id_l").orderBy("distance", "id_r"))).where("k = 1")
+        first = nearest(df, self.core, self.columns, 1, self.id_col, self.id_col).where(F.col("distance") <= F.lit(float(self.eps)))
         hit = first.join(self.core.select(F.col(self.id_col).alias("id_r"), "cluster"), "id_r").select(F.col("id_l").alias("__id"), F.col("cluster").alias("__c"))
         return df.drop("cluster").join(hit, F.col(self.id_col) == F.col("__id"), "left").withColumn("cluster", F.coalesce("__c", F.lit(-1))).drop("__id", "__c")
 

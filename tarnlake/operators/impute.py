@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import clean, is_missing, total
 from ..session import cut
 from .kernels import gram, solve
+from .neighbours import nearest
 
 
 @dataclass
@@ -72,14 +73,34 @@ class KNNImputer:
         self.data, self.columns, self.id_col = df.select(id_col, *(clean(c).alias(c) for c in columns)), columns, id_col
         return self
 
+    def _near(self, df: DataFrame) -> DataFrame | None:
+        """__q, __d and the columns of the k nearest rows of each row with a gap. Rows of one pattern of present columns are searched
+        among rows that share the same of these columns; what the patterns find is put together."""
+        pattern = F.concat(*(F.when(clean(c).isNull(), "0").otherwise("1") for c in self.columns))
+        ask = cut(df.select(F.col(self.id_col).alias("__q"), *(clean(c).alias(c) for c in self.columns), pattern.alias("__p")).where(F.col("__p").contains("0")))
+        held = self.data.withColumn("__p", pattern)
+        asked, known = (sorted(r[0] for r in t.select("__p").distinct().collect()) for t in (ask, held))
+        found = None
+        for q in asked:
+            shared: dict[str, list[str]] = {}
+            for p in known:
+                both = "".join("1" if a == b == "1" else "0" for a, b in zip(p, q, strict=True))
+                if "1" in both:
+                    shared.setdefault(both, []).append(p)
+            for both, patterns in shared.items():
+                own = [c for c, b in zip(self.columns, both, strict=True) if b == "1"]
+                one = nearest(ask.where(F.col("__p") == q), held.where(F.col("__p").isin(patterns)), own, self.k, "__q", self.id_col, skip_self=True, least=1e-10).drop("place")
+                found = one if found is None else found.union(one)
+        if found is None:
+            return None
+        w = Window.partitionBy("id_l").orderBy("distance", "id_r")
+        best = found.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= self.k)
+        return best.select(F.col("id_l").alias("__q"), F.col("distance").alias("__d"), F.col("id_r").alias(self.id_col)).join(self.data, self.id_col)
+
     def transform(self, df: DataFrame) -> DataFrame:
-        any_gone = total([F.when(clean(c).isNull(), 1).otherwise(0) for c in self.columns]) > 0
-        ask = df.where(any_gone).select(F.col(self.id_col).alias("__q"), *(clean(c).alias(f"q_{c}") for c in self.columns))
-        both = [F.col(f"q_{c}").isNotNull() & F.col(c).isNotNull() for c in self.columns]
-        d2 = total([F.when(b, (F.col(f"q_{c}") - F.col(c)) ** 2).otherwise(0.0) for b, c in zip(both, self.columns, strict=True)])
-        near = ask.crossJoin(self.data).where(total([b.cast("int") for b in both]) > 0).withColumn("__d", F.sqrt(d2)).where("__d >= 1e-10 and __q != " + self.id_col)
-        w = Window.partitionBy("__q").orderBy("__d", self.id_col)
-        near = near.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= self.k)
+        near = self._near(df)
+        if near is None:
+            near = self.data.limit(0).withColumns({"__q": F.col(self.id_col), "__d": F.lit(0.0)})
         weight = F.lit(1.0) if self.weights == "uniform" else 1 / F.col("__d")
         stats = [F.try_divide(F.sum(F.when(F.col(c).isNotNull(), weight * F.col(c))), F.sum(F.when(F.col(c).isNotNull(), weight))).alias(f"n_{c}") for c in self.columns]
         filled = near.groupBy("__q").agg(*stats)

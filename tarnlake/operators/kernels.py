@@ -116,14 +116,6 @@ def pick_sorted(df: DataFrame, value: str, places: list[int]) -> list[float]:
     return list(picks)
 
 
-def pairs(left: DataFrame, right: DataFrame, columns: list[str], distance, left_id: str, right_id: str, keep: Column | None = None) -> DataFrame:
-    """left_id, right_id, distance for all pairs (a search of left's rows against all of right); keep filters on `distance`."""
-    a = left.select(F.col(left_id).alias("id_l"), *(F.col(c).cast("double").alias(f"l_{c}") for c in columns))
-    b = right.select(F.col(right_id).alias("id_r"), *(F.col(c).cast("double").alias(f"r_{c}") for c in columns))
-    out = a.crossJoin(b).select("id_l", "id_r", distance([f"l_{c}" for c in columns], [f"r_{c}" for c in columns]).alias("distance"))
-    return out if keep is None else out.where(keep)
-
-
 def near_pairs(left: DataFrame, right: DataFrame, columns: list[str], radius: float, left_id: str, right_id: str, metric: str = "euclidean") -> DataFrame:
     """Pairs within radius, inclusive, by an equi-join on grid cells of the first columns: no pair beyond neighbouring cells is formed."""
     from ..functions.expressions import distance_function
@@ -140,30 +132,31 @@ def near_pairs(left: DataFrame, right: DataFrame, columns: list[str], radius: fl
     return joined.select("id_l", "id_r", d.alias("distance")).where(F.col("distance") <= F.lit(float(radius)))
 
 
-def nearest(left: DataFrame, right: DataFrame, columns: list[str], k: int, left_id: str, right_id: str, metric="euclidean", skip_self: bool = False) -> DataFrame:
-    """id_l, id_r, distance, place (1 .. k) of the k nearest rows of right for each row of left; ties by id_r. Each block of right
-    keeps its own k nearest first, so a query's candidates are k a block and not all rows."""
-    from ..functions.expressions import distance_function
-
-    all_pairs = pairs(left, right.withColumn("__block", F.pmod(F.xxhash64(right_id), F.lit(64))), columns, distance_function(metric), left_id, right_id)
-    if skip_self:
-        all_pairs = all_pairs.where("id_l != id_r")
-    blocks = all_pairs.withColumn("block", F.pmod(F.xxhash64("id_r"), F.lit(8)))
-    order = [F.col("distance"), F.col("id_r")]
-    own = blocks.withColumn("place", F.row_number().over(Window.partitionBy("id_l", "block").orderBy(*order))).where(F.col("place") <= k)
-    return own.withColumn("place", F.row_number().over(Window.partitionBy("id_l").orderBy(*order))).where(F.col("place") <= k).select("id_l", "id_r", "distance", "place")
-
-
-def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
-    """node, component (smallest node reached), by passing the smallest label along edges and through labels' own labels."""
-    both = cut(edges.select(F.col(u).alias("a"), F.col(v).alias("b")).union(edges.select(F.col(v), F.col(u))).distinct())
-    label = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
-    while True:
-        seen = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = label.join(seen, "node").select("node", "component", F.least("component", "near").alias("new"))
-        jump = label.select(F.col("node").alias("new"), F.col("component").alias("far"))
-        after = cut(step.join(jump, "new", "left").select("node", F.col("component").alias("old"), F.least("new", F.coalesce("far", "new")).alias("component")))
-        changed = after.where("old != component").limit(1).count()
-        label = after.select("node", "component")
-        if not changed:
-            return label
+def is_stars(edges: DataFrame) -> bool:
+    """Whether every node of edges (u > v) is either a root or tied to one root only; one aggregation tells."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.node", "e.up")
+    return ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("root")).where("ups > 1 or (ups = 1 and root = 0)").isEmpty()
+
+
+def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: list[int] | None = None) -> DataFrame:
+    """node, component (smallest node reached), by alternating star contractions: the number of rounds grows with the logarithm of
+    the number of nodes and not with the width of a component. Nodes without an edge to another node (a loop counts as none)
+    are their own components. rounds, if given, receives the number of rounds."""
+    every = edges.select(F.col(u).alias("u"), F.col(v).alias("v"))
+    tidy = lambda df: df.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    loops = cut(every.where("u = v").select(F.col("u").alias("node")).distinct())
+    now, k = cut(tidy(every)), 0
+    while not is_stars(now):
+        k += 1
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Every larger neighbour is tied to the smallest of the neighbourhood.
+        least = both.groupBy("u").agg(F.min("v").alias("least"))
+        middle = cut(tidy(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("least", "u").alias("v"))))
+        # Every node and its smaller neighbours are tied to the smallest of these.
+        stars = middle.join(middle.groupBy("u").agg(F.min("v").alias("least")), "u")
+        now = cut(tidy(stars.select(F.explode(F.array(F.struct("u", F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v")))).alias("e")).select("e.u", "e.v")))
+    if rounds is not None:
+        rounds.append(k)
+    label = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    alone = loops.join(label, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return cut(label.union(alone))

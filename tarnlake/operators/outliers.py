@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import total
-from .kernels import covariance, nearest, pick_sorted
+from .kernels import covariance, pick_sorted
+from .neighbours import nearest
 from .splits import sample_rows
 
 
@@ -86,7 +87,7 @@ class LocalOutlierFactor:
         return self._marked(df, factors)
 
     def _marked(self, df: DataFrame, factors: DataFrame) -> DataFrame:
-        return df.join(factors, F.col(self.id_col) == F.col("id")).drop("id").withColumn("label", _label(F.col("lof") >= F.lit(self.threshold)))
+        return df.join(factors.withColumnRenamed("id", "__i"), F.col(self.id_col) == F.col("__i")).drop("__i").withColumn("label", _label(F.col("lof") >= F.lit(self.threshold)))
 
     def predict(self, df: DataFrame) -> DataFrame:
         """New rows against the fitted ones."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import expressions as ex
 from .functions.formula import apply_formula
-from .operators import cluster, composition, describe, glm, impute, kernels, metrics, ordination, outliers, prepare, smooth, splits, tests, trees
+from .operators import cluster, composition, describe, glm, impute, kernels, metrics, neighbours, ordination, outliers, prepare, smooth, splits, tests, trees
 from .operators.linalg import covariance_matrix
 from .plans.recipe import recipe
 from .sources import tables
@@ -180,7 +180,7 @@ def distance_metrics(spark, sf_dir):
 r AS (SELECT *, row_number() OVER (PARTITION BY id_l ORDER BY distance, id_r) AS place FROM d) SELECT id_l, id_r, round(distance, 6) AS distance, CAST(place AS INTEGER) AS place FROM r WHERE place <= 5""")
 def knn_search(spark, sf_dir):
     s = _t(spark, sf_dir, "supplier")
-    return kernels.nearest(s, s, ["s_acctbal", "s_nationkey"], 5, "s_suppkey", "s_suppkey", skip_self=True).select("id_l", "id_r", _r("distance").alias("distance"), "place")
+    return neighbours.nearest(s, s, ["s_acctbal", "s_nationkey"], 5, "s_suppkey", "s_suppkey", skip_self=True).select("id_l", "id_r", _r("distance").alias("distance"), "place")
 
 
 @query("SELECT a.c_custkey AS id_l, b.c_custkey AS id_r, round(abs(a.c_acctbal - b.c_acctbal), 6) + 0.0 AS distance FROM customer a JOIN customer b ON abs(a.c_acctbal - b.c_acctbal) <= 2.5")
