@@ -1,12 +1,16 @@
 """Quality rules: counted rules first, then robust multivariate outliers.
 
 Statistics of every whole text are counted by vectorised kernels. Texts that pass the counted rules are compared with
-their peers of one language and source: a minimum-covariance-determinant estimate of the transformed statistic vectors
-is found by concentration steps, and a text whose squared Mahalanobis distance is beyond a cutoff is rejected.
+their peers of one language and source by a minimum-covariance-determinant estimate of the transformed statistic vectors; a text
+whose squared Mahalanobis distance is beyond a cutoff is rejected.
 
-A concentration step is one aggregation: rows are binned by distance, moments are summed by group and bin (so a hot
-group is reduced before the shuffle), and the bins that hold the nearest share of a group give its next estimate. No
-group is gathered in one task, and only one row a group and bin is shuffled.
+Each group starts from six robust scatter estimates that need no random draw (correlations of bounded transforms of the
+standardised components, spatial signs, and none at all). Each is improved by concentration steps; that with the least determinant is
+kept and improved further. A step bins rows by distance, finds the bin in which the nearest share of a group ends, and sums the
+moments of the rows up to it: only one row a group, start and bin is shuffled, so a hot group is reduced before the shuffle.
+
+A group of fewer rows than an estimate needs leans on its language's estimate, and a language's on that of all rows: means and
+scatters are weighed by the number of rows that the wider estimate keeps.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkern as tk
@@ -25,12 +29,16 @@ from .common import Stash, small_batches
 
 # Characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
-#: Names of the statistic vector's components, and the least standard deviation that is granted to each. The greatest value of
-#: each (1 for a share; 0.548 for repeat_rate, as the counted rules end at 30 %) is beyond the cutoff from 0 at its least deviation.
+#: Names of the statistic vector's components, and the standard deviation that is added to each one's own (variances add up). The greatest value of
+#: each (1 for a share; 0.548 for repeat_rate, as the counted rules end at 30 %) is beyond the cutoff from 0 at this deviation.
 FEATURES = ("log_word_length", "symbol_rate", "dup_line_rate", "repeat_rate", "long_word_rate")
 FLOOR = (0.08, 0.08, 0.10, 0.07, 0.06)
 #: Bins of a unit of log distance, and of a unit of a component.
-DISTANCE_BINS, VALUE_BINS = 32, 2048
+DISTANCE_BINS, VALUE_BINS = 64, 2048
+#: Rows that an estimate of its own needs: five for each component.
+LEAST_ROWS = 5 * len(FEATURES)
+#: Starts, and concentration steps that all of them take before the best is chosen.
+STARTS, FIRST_STEPS = 6, 2
 
 IS_SYMBOL = np.zeros(256, bool)
 IS_SYMBOL[list(SYMBOLS)] = True
@@ -126,10 +134,16 @@ def chi2_quantile(p: float, df: int) -> float:
     return low
 
 
+P = len(FEATURES)
+_PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+_SUMS = [f"s{i}" for i in range(P)] + [f"q{i}_{j}" for i, j in _PAIRS]
+_ESTIMATE = "g string, k int, rows long, mu array<double>, cov array<double>, inv array<double>, det double"
+
+
 def _start(pdf: pd.DataFrame) -> pd.DataFrame:
     """First estimate of a group from histograms of its components: medians and median absolute deviations."""
     centre, spread = [], []
-    for k in range(len(FEATURES)):
+    for k in range(P):
         own = pdf[pdf["dim"] == k].sort_values("bin")
         value, n = own["bin"].to_numpy() / VALUE_BINS, own["n"].to_numpy().cumsum()
         middle = value[np.searchsorted(n, n[-1] / 2)]
@@ -138,63 +152,122 @@ def _start(pdf: pd.DataFrame) -> pd.DataFrame:
         m = own["n"].to_numpy()[order].cumsum()
         centre.append(middle)
         spread.append(max(FLOOR[k], 1.4826 * away[order][np.searchsorted(m, m[-1] / 2)]))
-    return pd.DataFrame({"g": [pdf["g"].iloc[0]], "mu": [centre], "inv": [np.diag(1 / np.square(spread)).reshape(-1).tolist()]})
+    return pd.DataFrame({"g": [pdf["g"].iloc[0]], "mu": [centre], "spread": [spread]})
+
+
+def eased(cov: np.ndarray) -> np.ndarray:
+    """A scatter with the least variances added, so that no direction is narrower than these and determinants of groups with
+    constant or tied components can be compared."""
+    return cov + np.diag(np.square(FLOOR))
+
+
+def start_scatter(cross: np.ndarray | None, spread: np.ndarray) -> np.ndarray:
+    """Scatter from the cross products of a bounded transform: its correlations, with the group's spreads."""
+    r = np.eye(P)
+    if cross is not None:
+        size = np.sqrt(np.diag(cross))
+        there = size > 0
+        both = np.outer(there, there)
+        r[both] = (cross / np.outer(np.where(there, size, 1), np.where(there, size, 1)))[both]
+        value, vector = np.linalg.eigh(r)
+        r = vector @ np.diag(np.maximum(value, 0.05)) @ vector.T
+    return r * np.outer(spread, spread)
+
+
+def _square(row: dict) -> np.ndarray:
+    out = np.zeros((P, P))
+    for i, j in _PAIRS:
+        out[i, j] = out[j, i] = row[f"q{i}_{j}"]
+    return out
+
 
+def _rows(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["g", "k", "rows", "mu", "cov", "inv", "det"])
 
-def _concentrate(share: float, factor: float):
-    p = len(FEATURES)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin")
-        n = pdf["n"].to_numpy().cumsum()
-        part = pdf.iloc[: int(np.searchsorted(n, math.ceil(share * n[-1]))) + 1]
-        count = part["n"].sum()
-        mu = np.array([part[f"s{i}"].sum() for i in range(p)]) / count
-        cov = np.array([[part[f"q{min(i, j)}_{max(i, j)}"].sum() / count - mu[i] * mu[j] for j in range(p)] for i in range(p)]) * factor
-        short = np.maximum(0, np.square(FLOOR) - np.diag(cov))
-        inv = np.linalg.inv(cov + np.diag(short) + np.eye(p) * 1e-9)
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "mu": [mu.tolist()], "inv": [inv.reshape(-1).tolist()]})
+def _estimate(g: str, k: int, n: int, mu: np.ndarray, cov: np.ndarray) -> tuple:
+    return g, k, n, mu.tolist(), cov.reshape(-1).tolist(), np.linalg.inv(eased(cov)).reshape(-1).tolist(), float(np.linalg.det(eased(cov)))
 
-    return run
+
+def _scatters(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The start of each group and transform; the last one has no cross products."""
+    for f in frames:
+        yield _rows([_estimate(r["g"], r["k"], 0, np.array(r["mu"]), start_scatter(_square(r) if r["k"] < STARTS - 1 else None, np.array(r["spread"]))) for r in f.to_dict("records")])
+
+
+def _moments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Mean and scatter of each group and start."""
+    for f in frames:
+        out = []
+        for r in f.to_dict("records"):
+            mu = np.array([r[f"s{i}"] for i in range(P)]) / r["n"]
+            out.append(_estimate(r["g"], r["k"], r["n"], mu, _square(r) / r["n"] - np.outer(mu, mu)))
+        yield _rows(out)
+
+
+def _lean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Estimates of small groups: the rows that the wider estimate keeps, weighed against that."""
+    for f in frames:
+        out = []
+        for r in f.to_dict("records"):
+            mu, cov, n = np.array(r["mu"]), np.array(r["cov"]).reshape(P, P), int(r["n"])
+            if n:
+                own = np.array([r[f"s{i}"] for i in range(P)]) / n
+                a = min(1.0, n / LEAST_ROWS)
+                cov = a * (_square(r) / n - np.outer(own, own)) + (1 - a) * cov
+                mu = a * own + (1 - a) * mu
+            out.append(_estimate(r["g"], 0, n, mu, cov))
+        yield _rows(out)
 
 
 def _distance() -> F.Column:
-    p = len(FEATURES)
     away = [F.col(c) - F.col("mu")[i] for i, c in enumerate(FEATURES)]
-    return sum((away[i] * away[j] * F.col("inv")[i * p + j] for i in range(p) for j in range(p)), F.lit(0.0))
+    return sum((away[i] * away[j] * F.col("inv")[i * P + j] for i in range(P) for j in range(P)), F.lit(0.0))
 
 
-def _groups(rows: DataFrame, least: int) -> DataFrame:
-    """A name for each (lang, source), and its rows: itself if it has enough rows, else the rest of its language, else the rest of all."""
-    from pyspark.sql import Window
+def _sums(values: list[F.Column]) -> list[F.Column]:
+    return [F.sum(v).alias(f"s{i}") for i, v in enumerate(values)] + [F.sum(values[i] * values[j]).alias(f"q{i}_{j}") for i, j in _PAIRS]
 
-    n = rows.groupBy("peer", "lang").agg(F.count("*").alias("n"))
-    small = F.when(F.col("n") < least, F.col("n")).otherwise(0)
-    n = n.withColumn("rest", F.sum(small).over(Window.partitionBy("lang")))
-    return n.select("peer", "n", F.when(F.col("n") >= least, F.col("peer")).when(F.col("rest") >= least, F.concat(F.lit("l:"), F.coalesce("lang", F.lit("")))).otherwise("*").alias("g"))
 
+def _transforms() -> F.Column:
+    """Bounded transforms of the standardised components, one array each; the last stands for none."""
+    z = [(F.col(c) - F.col("mu")[i]) / F.col("spread")[i] for i, c in enumerate(FEATURES)]
+    square = sum((v * v for v in z), F.lit(0.0))
+    near = F.sqrt(square + 1e-12)
+    made = [[F.tanh(v) for v in z], [F.signum(v) for v in z], [F.greatest(F.lit(-1.5), F.least(F.lit(1.5), v)) for v in z], [v / near for v in z], [v / (1 + square / P) for v in z], [F.lit(0.0)] * P]
+    return F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.array(*m).alias("y")) for k, m in enumerate(made))))
 
-def quality_verdicts(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, tail: float = 1e-9, least: int = 200, steps: int = 4) -> DataFrame:
+
+def _step(grouped: DataFrame, params: DataFrame, share: float) -> DataFrame:
+    """One concentration step of every group and start."""
+    far = grouped.join(params.select("g", "k", "mu", "inv"), "g").withColumn("bin", F.floor(F.log(_distance() + 1e-6) * DISTANCE_BINS)).select("g", "k", "bin", *FEATURES)
+    counts = far.groupBy("g", "k", "bin").agg(F.count("*").alias("n"))
+    upto, whole = F.sum("n").over(Window.partitionBy("g", "k").orderBy("bin")), F.sum("n").over(Window.partitionBy("g", "k"))
+    edge = counts.select("g", "k", "bin", (upto - F.col("n") < F.ceil(F.lit(share) * whole)).alias("in")).where("in").groupBy("g", "k").agg(F.max("bin").alias("edge"))
+    return far.join(edge, ["g", "k"]).where("bin <= edge").groupBy("g", "k").agg(F.count("*").alias("n"), *_sums([F.col(c) for c in FEATURES])).mapInPandas(_moments, _ESTIMATE)
+
+
+def quality_verdicts(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, tail: float = 1e-9, steps: int = 3) -> DataFrame:
     """One row per document: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
-    Null and empty texts have no words and fail. Null languages and sources are values like others. Groups of fewer than least
-    passing rows are pooled by language and then altogether; a pool of fewer than least rows is judged by the estimate of all
-    passing rows, however few they are. Ties in distance share a bin and are taken together. Repeated rows count each time
-    and get equal verdicts; an empty table gives no row."""
+    Null and empty texts have no words and fail. Null languages and sources are values like others. Texts of any length are read
+    whole. Ties in distance share a bin and are taken together. Repeated rows count each time and get equal verdicts; other
+    columns of df, whatever their names, have no part in this; an empty table gives no row."""
     stash = Stash(df.sparkSession, "quality")
     kind = df.schema[id_col].dataType.simpleString()
     counted = _counted(df, stash, kind, text_col, id_col, lang_col, source_col)
-    params = _estimates(counted, stash, share, least, steps)
-    out = counted if params is None else counted.join(params, "peer", "left")
-    return out.select(F.col("key").alias(id_col), *COUNTS, "base_failed", _verdict(params is not None, tail).alias("kept"))
+    params = estimates(counted, stash, share, tail, steps)
+    out = counted.join(params, "peer", "left")
+    kept = ~F.col("base_failed") & F.coalesce(_distance() <= chi2_quantile(1 - tail, P), F.lit(False))
+    return out.select(F.col("key").alias(id_col), *COUNTS, "base_failed", kept.alias("kept"))
 
 
-def keep_quality(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, tail: float = 1e-9, least: int = 200, steps: int = 4) -> DataFrame:
+def keep_quality(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, tail: float = 1e-9, steps: int = 3) -> DataFrame:
     """The rows of df, with all columns, that quality_verdicts() keeps. Texts are counted again beside their rows and judged by the
     estimates of their group, so that no text is shuffled while the table of estimates is small enough to be broadcast."""
     stash = Stash(df.sparkSession, "quality")
     counted = _counted(df, stash, df.schema[id_col].dataType.simpleString(), text_col, id_col, lang_col, source_col)
-    params = _estimates(counted, stash, share, least, steps)
+    params = estimates(counted, stash, share, tail, steps)
     names, at = df.columns, df.columns.index(text_col)
 
     def run(batches):
@@ -206,14 +279,11 @@ def keep_quality(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", __peer string, __failed boolean, __x array<double>"
     beside = df.withColumn("__peer", _peer(lang_col, source_col)).mapInArrow(run, schema)
-    if params is None:
-        return beside.where("not __failed").select(names)
     renamed = params.select(F.col("peer").alias("__peer"), F.struct("mu", "inv").alias("__params"))
     joined = beside.where("not __failed").join(renamed, "__peer", "left")
-    p = len(FEATURES)
-    away = [F.col("__x")[i] - F.col("__params.mu")[i] for i in range(p)]
-    d = sum((away[i] * away[j] * F.col("__params.inv")[i * p + j] for i in range(p) for j in range(p)), F.lit(0.0))
-    return joined.where(d <= chi2_quantile(1 - tail, p)).select(names)
+    away = [F.col("__x")[i] - F.col("__params.mu")[i] for i in range(P)]
+    d = sum((away[i] * away[j] * F.col("__params.inv")[i * P + j] for i in range(P) for j in range(P)), F.lit(0.0))
+    return joined.where(d <= chi2_quantile(1 - tail, P)).select(names)
 
 
 def _peer(lang_col: str, source_col: str) -> F.Column:
@@ -226,35 +296,65 @@ def _counted(df, stash, kind, text_col, id_col, lang_col, source_col) -> DataFra
     return stash.save(rows.mapInArrow(_count, schema).withColumn("peer", _peer("lang", "source")), "counted")
 
 
-def _verdict(fitted: bool, tail: float) -> F.Column:
-    if not fitted:
-        return ~F.col("base_failed")
-    return ~F.col("base_failed") & F.coalesce(_distance() <= chi2_quantile(1 - tail, len(FEATURES)), F.lit(False))
+def _members(passed: DataFrame) -> DataFrame:
+    """peer, n, wide (the group of its language), n_wide, and groups: those whose estimates its rows go into. A language is estimated
+    only if a peer of it is small, all rows only if such a language is small."""
+    n = passed.groupBy("peer", "lang").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("lang")
+    n = n.withColumns({"n_wide": F.sum("n").over(own), "least": F.min("n").over(own), "wide": F.concat(F.lit("l:"), F.coalesce("lang", F.lit("\0")))})
+    small = n.agg(F.min(F.when(F.col("least") < LEAST_ROWS, F.col("n_wide"))).alias("m")).first()["m"]
+    every = F.lit("*") if small is not None and small < LEAST_ROWS else F.lit(None).cast("string")
+    wide = F.when((F.col("least") < LEAST_ROWS) & (F.col("n_wide") >= LEAST_ROWS), F.col("wide"))
+    groups = F.filter(F.array(F.when(F.col("n") >= LEAST_ROWS, F.concat(F.lit("p:"), "peer")), wide, every), lambda g: g.isNotNull())
+    return n.select("peer", "n", "wide", "n_wide", groups.alias("groups"))
 
 
-def _estimates(counted: DataFrame, stash: Stash, share: float, least: int, steps: int) -> DataFrame | None:
-    """peer, mu, inv of the group that each (lang, source) belongs to; None if no text passes the counted rules."""
+def estimates(counted: DataFrame, stash: Stash, share: float, tail: float, steps: int) -> DataFrame:
+    """peer, mu, inv, own (whether the estimate is of the (lang, source) alone) for each (lang, source) with a row that passes the counted rules."""
     passed = counted.where(~F.col("base_failed"))
-    named = stash.save(_groups(passed, least), "groups")
-    peers, rest = named.agg(F.count("*"), F.sum(F.when(F.col("g") == "*", F.col("n")))).first()
-    if not peers:
-        return None
-    members = named.select("peer", "g")
-    if rest is not None and rest < least:  # too few for an estimate of their own: that of all rows
-        members = members.where("g != '*'").union(named.select("peer", F.lit("*")))
-    grouped = passed.select("peer", *FEATURES).join(members, "peer").select("g", *FEATURES)
+    members = stash.save(_members(passed), "members")
+    grouped = passed.select("peer", *FEATURES).join(members.select("peer", F.explode("groups").alias("g")), "peer").select("g", *FEATURES)
     dims = F.explode(F.array(*(F.struct(F.lit(k).alias("dim"), F.floor(F.col(c) * VALUE_BINS).alias("bin")) for k, c in enumerate(FEATURES)))).alias("d")
     first = grouped.select("g", dims).groupBy("g", "d.dim", "d.bin").agg(F.count("*").alias("n"))
-    params = stash.save(first.groupBy("g").applyInPandas(_start, "g string, mu array<double>, inv array<double>"), "start")
-    p = len(FEATURES)
-    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(FEATURES)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}_{j}") for i in range(p) for j in range(i, p)]
-    # The share's covariance is too small by this factor if the rest is normal.
-    q = chi2_quantile(share, p)
-    factor = share / (1 - _upper(q, p + 2))
+    medians = stash.save(first.groupBy("g").applyInPandas(_start, "g string, mu array<double>, spread array<double>"), "medians")
+    made = grouped.join(medians, "g").select("g", _transforms().alias("t")).groupBy("g", "t.k").agg(*_sums([F.col("t.y")[i] for i in range(P)]))
+    params = stash.save(made.join(medians, "g").mapInPandas(_scatters, _ESTIMATE), "starts")
+    for k in range(FIRST_STEPS):
+        params = stash.save(_step(grouped, params, share), f"first{k}")
+    fields = [x.strip().split(" ")[0] for x in _ESTIMATE.split(",")]
+    best = params.groupBy("g").agg(F.min_by(F.struct(*fields[1:]), F.struct("det", "k")).alias("x")).select("g", *(f"x.{c}" for c in fields[1:]))
+    params = stash.save(best, "best")
     for k in range(steps):
-        binned = grouped.join(params, "g").withColumn("bin", F.floor(F.log(_distance() + 1e-6) * DISTANCE_BINS))
-        params = stash.save(binned.groupBy("g", "bin").agg(F.count("*").alias("n"), *sums).groupBy("g").applyInPandas(_concentrate(share, factor), "g string, mu array<double>, inv array<double>"), f"step{k}")
-    return stash.save(named.join(params, "g").select("peer", "mu", "inv"), "by_peer")
+        params = stash.save(_step(grouped, params, share), f"step{k}")
+    # The share's covariance is too small by this factor if the rest is normal.
+    factor = share / (1 - _upper(chi2_quantile(share, P), P + 2))
+    params = stash.save(params.withColumn("cov", F.transform("cov", lambda v: v * factor)).mapInPandas(_restate, _ESTIMATE), "raw")
+    cutoff = chi2_quantile(1 - tail, P)
+
+    def lean(label: str, g: F.Column, rows: DataFrame, wider: DataFrame) -> DataFrame:
+        """Estimates of the small groups of rows (peer, name, wide) by the wider ones (g, mu, cov, inv)."""
+        of = rows.select("peer", "name", "wide").join(wider.select(F.col("g").alias("wide"), "mu", "cov", "inv"), "wide")
+        own = passed.select("peer", *FEATURES).join(of.select("peer", "name", "mu", "inv"), "peer").where(_distance() <= cutoff)
+        sums = own.groupBy("name").agg(F.count("*").alias("n"), *_sums([F.col(c) for c in FEATURES]))
+        base = of.select("name", "mu", "cov").dropDuplicates(["name"]).join(sums, "name", "left").withColumnRenamed("name", "g").withColumn("k", F.lit(0))
+        return stash.save(base.fillna(0, ["n", *_SUMS]).mapInPandas(_lean, _ESTIMATE), label)
+
+    small = members.where(F.col("n") < LEAST_ROWS)
+    few = small.where(F.col("n_wide") < LEAST_ROWS).select("peer", F.col("wide").alias("name"), F.lit("*").alias("wide"))
+    every = members.where(F.col("n_wide") < LEAST_ROWS).select("peer", F.col("wide").alias("name"), F.lit("*").alias("wide"))
+    languages = params.where("g like 'l:%'")
+    if not few.isEmpty():
+        languages = languages.union(lean("languages", F.col("wide"), every, params.where("g = '*'")))
+    peers = params.where("g like 'p:%'").withColumn("own", F.lit(True))
+    if not small.isEmpty():
+        peers = peers.union(lean("peers", F.col("peer"), small.select("peer", F.concat(F.lit("p:"), "peer").alias("name"), "wide"), languages).withColumn("own", F.lit(False)))
+    return stash.save(peers.select(F.expr("substr(g, 3)").alias("peer"), "mu", "inv", "own"), "by_peer")
+
+
+def _restate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Inverses and determinants of corrected scatters."""
+    for f in frames:
+        yield _rows([_estimate(r["g"], r["k"], r["rows"], np.array(r["mu"]), np.array(r["cov"]).reshape(P, P)) for r in f.to_dict("records")])
 
 
 def _upper(x: float, df: int) -> float:
