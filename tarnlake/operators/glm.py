@@ -311,6 +311,7 @@ class GLM(Saveable):
 
     def fit(self, df: DataFrame, formula: str | None = None, y: str | list[str] | None = None, columns: list[str] | None = None, group: str | None = None) -> GLM:
         options = {"family": self.family, "link": self.link, **self.options}
+        self.targets = y if y is not None else formula.split("~")[0].strip()
         if formula and "|" in formula:
             made, names, f = apply_formula(df, formula)
             named = made.select(F.col("y").alias("y"), *(F.col(f"x{k}").alias(n) for k, n in enumerate(names) if n != "(Intercept)"), F.col("group0").alias(f.random[0].group))
@@ -350,6 +351,20 @@ class GLM(Saveable):
         best = F.array_max(F.array(*(F.struct(F.col(f"__p{k}").alias("p"), F.lit(-k).alias("k")) for k in range(len(names)))))
         return out.withColumn("prediction", F.array(*(F.lit(c) for c in names))[-best["k"]]).drop(*(f"__p{k}" for k in range(len(names))))
 
+    def score(self, df: DataFrame) -> float:
+        """R2 of predictions for numbers, accuracy for classes; the mean over several targets."""
+        from . import metrics
+
+        if not self.models:
+            raise ValueError("fit() comes first")
+        targets = self.targets if isinstance(self.targets, list) else [self.targets]
+        out, scores = self.predict(df), []
+        for t in targets:
+            p = f"prediction_{t}" if len(targets) > 1 else "prediction"
+            measure = metrics.accuracy if self.family == "binomial" and dict(out.dtypes)[p] == dict(df.dtypes).get(t) else metrics.r2
+            scores.append(out.agg(measure(t, p)).first()[0])
+        return sum(scores) / len(scores)
+
     def summary(self) -> str:
         return "\n\n".join(m.summary() if hasattr(m, "summary") else str(m) for m in self.models.values())
 

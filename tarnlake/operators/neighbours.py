@@ -218,6 +218,27 @@ def _nearest_by_function(left, right, columns, k, left_id, right_id, metric, ski
     return _first(met.withColumn("own", F.row_number().over(order)).where(F.col("own") <= k).select("id_l", "id_r", "distance"), k)
 
 
+def distance_matrix(df: DataFrame, columns: list[str], id_col: str, metric: str = "euclidean") -> DataFrame:
+    """id_l, id_r, distance of all pairs of rows, each once (id_l < id_r), block by block: the result is quadratic by its nature."""
+    names = [f"x{j}" for j in range(len(columns))]
+    rows = cut(_frame(df, id_col, columns, "id"))
+    kind = dict(rows.dtypes)["id"]
+    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    dealt = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a, b = dealt.withColumnRenamed("b", "i").withColumn("j", every), dealt.withColumnRenamed("b", "j").withColumn("i", every)
+
+    def run(_, mine: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(other):
+            return pd.DataFrame({"id_l": [], "id_r": [], "distance": []})
+        p, q = mine["id"].to_numpy(), other["id"].to_numpy()
+        d = distances(metric, mine[names].to_numpy(), other[names].to_numpy())
+        r, c = np.nonzero(p[:, None] < q[None])
+        return pd.DataFrame({"id_l": p[r], "id_r": q[c], "distance": d[r, c]})
+
+    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(run, f"id_l {kind}, id_r {kind}, distance double")
+
+
 def distance_sums(df: DataFrame, columns: list[str], label: str, id_col: str, metric: str = "euclidean") -> DataFrame:
     """id, other, total: the sum of the distances of each row from all rows of each label, in blocks of rows against blocks of rows;
     only sums leave a task."""

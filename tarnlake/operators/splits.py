@@ -70,6 +70,12 @@ def cross_validate(fit: Callable, score: Callable, df: DataFrame, fold: str = "f
     return {"scores": scores, "mean": mean, "std": math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))}
 
 
+def cross_validate_models(fits: dict[str, Callable], score: Callable, df: DataFrame, fold: str = "fold") -> list[dict]:
+    """cross_validate() of several models on the same folds, the best mean first."""
+    rows = [{"model": name} | cross_validate(fit, score, df, fold) for name, fit in fits.items()]
+    return sorted(rows, key=lambda r: -r["mean"])
+
+
 def sample_rows(df: DataFrame, id_col: str, k: int, seed: int = 0) -> DataFrame:
     """k rows of the shuffled order: each task keeps its first k, and these are merged."""
     return df.orderBy(*shuffled(id_col, seed)).limit(k)
