@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import ClassVar
 from urllib.parse import urlparse
 
 import pyarrow.fs as pafs
@@ -33,10 +36,15 @@ def small_batches(spark: SparkSession) -> None:
 
 
 class Stash:
-    """Tables written once under the shared folder: they cut lineage and survive lost executors."""
+    """Tables written once under the shared folder: they cut lineage and survive lost executors. They are needed until the result
+    that reads them has been written; temporary() tells which ones a piece of work has made, and close() removes them."""
+
+    made: ClassVar[list[list[Stash]]] = []
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        for each in self.made:
+            each.append(self)
         self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         small_batches(spark)
 
@@ -45,11 +53,31 @@ class Stash:
         df.write.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def _remove(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def drop(self, *names: str) -> None:
         """Removes tables that no later result reads."""
         for name in names:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self._remove(f"{self.path}/{name}")
+
+    def close(self) -> None:
+        """Removes all tables."""
+        self._remove(self.path)
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Removes, at the end, all tables that were made within."""
+    mine: list[Stash] = []
+    Stash.made.append(mine)
+    try:
+        yield
+    finally:
+        Stash.made.remove(mine)
+        for stash in mine:
+            stash.close()
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -51,6 +51,14 @@ def id_filter(ids: DataFrame, column: str):
     return ids.sparkSession.sparkContext.broadcast(bits)
 
 
+def members(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which keys may be members."""
+    keep = np.ones(len(key), bool)
+    for at in _places(key):
+        keep &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    return keep
+
+
 def rows_by_filter(shared, column: str, inside: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow: the rows that may be members (inside), or those that are none. Null ids are no members."""
 
@@ -59,8 +67,7 @@ def rows_by_filter(shared, column: str, inside: bool) -> Callable[[Iterator[pa.R
         for batch in batches:
             ids = batch.column(column)
             keep = ids.is_valid().to_numpy(zero_copy_only=False)
-            for at in _places(ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)):
-                keep = keep & (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            keep = keep & members(bits, ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False))
             if not inside:
                 keep = ~keep
             if keep.any():

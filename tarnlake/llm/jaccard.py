@@ -14,6 +14,7 @@ blocks that hold different parts are searched too, so that no link is missed. Pa
 from __future__ import annotations
 
 import heapq
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from . import textkern as tk
 from .blobs import cut_points, from_five, from_short, pack_arrays, to_five, to_short, unpack_arrays
 from .common import Stash, partitions, small_batches
 from .components import connected_components, min_labels
-from .idfilter import id_filter, rows_by_filter
+from .idfilter import id_filter, members, rows_by_filter
 
 U64 = np.uint64
 SHINGLE = 5
@@ -40,8 +41,11 @@ BUCKET_POSTINGS, FLUSH_POSTINGS = 1 << 20, 1 << 21
 GROUP_DOCS, GROUP_SHINGLES, PIVOTS = 96, 2_000_000, 4
 #: Bytes of a shingle's hash in a group: 48 bits tell the shingles of one task apart.
 SHINGLE_BYTES = 6
-#: Occurrences that a candidate needs in the merged short lists.
-MERGE_COUNT = 4
+#: DivideSkip's weight of the logarithm of the longest list: the larger, the fewer lists are set aside.
+SKIP_WEIGHT = 0.0085
+#: Copies from which a class sends only its representative's prefix, at least; classes of that kind at most (a filter of fixed size
+#: knows them), by which the number of copies goes up in a table with more.
+HOT_COPIES, HOT_CLASSES = 64, 1 << 22
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +111,21 @@ def prefix_sizes(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return n - (3 * n + 3) // 4 + 1, n - (6 * n + 6) // 7 + 1
 
 
-def _postings(sketch, bits: int):
+def hot_classes(classes: DataFrame) -> DataFrame:
+    """The classes of so many copies that there are at most HOT_CLASSES of them."""
+    by_size = classes.where(F.col("copies") > HOT_COPIES).groupBy(F.floor(F.log2("copies")).alias("k")).agg(F.count("*").alias("n")).collect()  # a row for each power of two
+    least, total = HOT_COPIES, 0
+    for r in sorted(by_size, key=lambda r: -r["k"]):
+        total += r["n"]
+        if total > HOT_CLASSES:
+            least = max(least, 2 ** (r["k"] + 1) - 1)
+            break
+    return classes.where(F.col("copies") > least)
+
+
+def _postings(sketch, bits: int, hot, reps):
+    """Prefixes of the sets, by bucket. Of a hot class only the representative's (and what the filters take for it) is sent."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare: np.ndarray = sketch.value
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -122,13 +140,15 @@ def _postings(sketch, bits: int):
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
 
         for batch in batches:
-            for _, buf, off in tk.text_chunks(batch, "text"):
+            for rows, buf, off in tk.text_chunks(batch, "text"):
                 sets, first = shingle_sets(buf, off)
                 c1, _ = class_hashes(sets, first)
                 size = np.diff(first)
+                key = batch.column("key").slice(rows.start, len(size)).to_numpy()
+                size[members(hot.value, c1) & ~members(reps.value, key)] = 0
                 # Copies within a chunk are sent once.
-                _, one = np.unique(c1, return_index=True)
-                one = one[size[one] > 1]  # a set of one links with equal sets only
+                alive = np.flatnonzero(size > 1)  # a set of one links with equal sets only
+                one = alive[np.unique(c1[alive], return_index=True)[1]]
                 order = np.minimum(rare[(sets >> U64(64 - SKETCH_BITS)).astype(np.int64)].astype(U64), U64((1 << 24) - 1)) << U64(40) | sets >> U64(24)
                 probe, index = prefix_sizes(size)
                 for k in one:
@@ -217,6 +237,11 @@ def merge_skip(lists: list[list[int]], starts: list[int], least: int) -> dict[in
     return out
 
 
+def long_lists(need: int, longest: int) -> int:
+    """How many lists DivideSkip sets aside: merging costs as much as probing at about need / (weight * log longest + 1)."""
+    return int(need / (SKIP_WEIGHT * math.log2(max(2, longest)) + 1))
+
+
 def t_occurrence_links(sets: list[np.ndarray], part: list[int] | None = None) -> list[tuple[int, int]]:
     """A forest of links (numbers of sets, as given) with the components of all pairs whose Jaccard similarity is 0.75 or more.
     Sets with equal part are known to be tied already."""
@@ -240,8 +265,8 @@ def t_occurrence_links(sets: list[np.ndarray], part: list[int] | None = None) ->
         if len(own) >= need > 0:
             mine = sorted((lists[t] for t in own if lists[t] and lists[t][-1] >= low), key=len)
             if len(mine) >= need:
-                # DivideSkip: the longest lists are only probed.
-                aside = max(0, need - min(need, MERGE_COUNT))
+                # DivideSkip: the longest lists are only probed; how many these are follows from their lengths.
+                aside = min(need - 1, long_lists(need, len(mine[-1])))
                 short, long = mine[: len(mine) - aside], mine[len(mine) - aside :]
                 for y, count in merge_skip(short, [bisect_left(s, low) for s in short], need - aside).items():
                     if ties.root(x) == ties.root(y):
@@ -287,15 +312,16 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     """One row per document: id_col, n_shingles, component_id (smallest id that links reach).
 
     Words are lower-cased in A-Z; a text of fewer than five words is one shingle; null texts and texts without words have none
-    and link with nothing. Ids are whole numbers; rows without one have no component. Repeated rows are copies like others,
-    and rows that share an id are tied. An empty table gives no row."""
+    and link with nothing. Texts of any length are read whole. Ids are whole numbers; rows without one have no component. Repeated
+    rows are copies like others, and rows that share an id are tied. Other columns of df, whatever their names, have no part in
+    this. An empty table gives no row."""
     spark = df.sparkSession
     small_batches(spark)
     stash = Stash(spark, "jaccard")
     rows = df.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     described = stash.save(rows.mapInArrow(_describe, "key long, n long, c1 long, c2 long, part int, blob binary"), "described")
     docs = described.where("part is null").select("key", "n", "c1", "c2")
-    classes = stash.save(docs.where("n > 0 and key is not null").groupBy("c1", "c2").agg(F.min("key").alias("rep"), F.max("n").alias("n")), "classes")
+    classes = stash.save(docs.where("n > 0 and key is not null").groupBy("c1", "c2").agg(F.min("key").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "classes")
 
     parts = described.where("part is not null").select("part", "blob").groupBy("part").applyInPandas(_merge_sketch, "part int, blob binary").collect()
     un = zstandard.ZstdDecompressor()
@@ -303,10 +329,11 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     shared = spark.sparkContext.broadcast(sketch)  # of fixed size
 
     total = classes.agg(F.sum("n")).first()[0] or 0
-    bits = max(0, min(20, (max(2 * partitions(spark), total // 4 // BUCKET_POSTINGS) - 1).bit_length()))
-    ties = rows.where("key is not null").mapInArrow(_postings(shared, bits), "bucket int, blob binary").groupBy("bucket").applyInPandas(_tie, "u long, v long")
+    bits = min(30, (max(2 * partitions(spark), total // 4 // BUCKET_POSTINGS) - 1).bit_length())  # 2^50 postings and more
+    hot = hot_classes(classes)
+    ties = rows.where("key is not null").mapInArrow(_postings(shared, bits, id_filter(hot, "c1"), id_filter(hot, "rep")), "bucket int, blob binary").groupBy("bucket").applyInPandas(_tie, "u long, v long")
     groups = connected_components(ties, stash, "ties").select(F.col("node").alias("c1"), F.col("component").alias("g"))
-    members = stash.save(classes.join(groups, "c1"), "members")
+    members = stash.save(classes.drop("copies").join(groups, "c1"), "members")
     sizes = members.groupBy("g").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
     blocks = F.greatest(F.ceil(F.col("docs") / GROUP_DOCS), F.ceil(F.col("total") / GROUP_SHINGLES)).cast("int")
     placed = stash.save(members.join(sizes.select("g", blocks.alias("blocks")), "g").select("rep", "c1", "c2", "g", "n", "blocks"), "placed_members")

@@ -160,7 +160,7 @@ def _sum_pairs(folder: str, bits: int, hot: np.ndarray):
         _store(folder, f"pairs-{int(key[0])}", g[begin], *narrow(n))
         each, total, n1, n2, n3, _ = sum_by(context, n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64), np.ones(len(n), np.int64))
         is_hot = np.isin(each, hot)
-        _store(folder, f"contexts-{int(key[0])}", *(x for c in (each[~is_hot],) for x in (c,)), *(y for c in (total, n1, n2, n3) for y in narrow(c[~is_hot])))
+        _store(folder, f"contexts-{int(key[0])}", each[~is_hot], *(y for c in (total, n1, n2, n3) for y in narrow(c[~is_hot])))
         rows = [("hot", -1, b"", [int(c), *map(int, v)]) for c, v in zip(each[is_hot].astype(np.int64), np.stack([total, n1, n2, n3], 1)[is_hot], strict=True)]
         rows.append(("tally", -1, b"", _tally(n)))
         ends, left = sum_by(word, np.ones(len(word), np.int64))
@@ -304,7 +304,7 @@ def fit_kneser_ney(texts: DataFrame, stash: Stash) -> KneserNey:
     """Counts the column text of a table and writes the model under stash."""
     spark, folder = texts.sparkSession, f"{stash.path}/model"
     size = texts.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(0, min(16, (max(partitions(spark), -(-size // BUCKET_BYTES)) - 1).bit_length()))
+    bits = min(24, (max(partitions(spark), -(-size // BUCKET_BYTES)) - 1).bit_length())  # 24 bits: 256 TB of text
     words = texts.mapInArrow(_count_words(bits), "bucket int, blob binary").groupBy("bucket").applyInPandas(_sum_words(folder), "tokens long, distinct long, hot array<long>, hot_n array<long>")
     words = stash.save(words, "words")
     tokens, distinct = (x or 0 for x in words.select(F.sum("tokens"), F.sum("distinct")).first())
@@ -335,8 +335,9 @@ def _align(hot: np.ndarray, found: np.ndarray, sums: np.ndarray) -> np.ndarray:
 def score_documents(df: DataFrame, held_out: Column, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
-    The model learns from rows where held_out is false. Null and empty texts are one end token. With nothing to learn from,
-    every token has probability 1. Repeated rows count each time; an empty table gives no row."""
+    The model learns from rows where held_out is false. Null and empty texts are one end token; texts of any length are read whole.
+    With nothing to learn from, every token has probability 1, and scores are 0. Repeated rows count each time; other columns of
+    df, whatever their names, have no part in this; an empty table gives no row."""
     spark = df.sparkSession
     small_batches(spark)
     stash = Stash(spark, "kneser-ney")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,18 +24,26 @@ from .common import Stash, small_batches
 
 #: Slots of a language's table, lengths of n-grams, bytes of the parts that longer words are taken in.
 TABLE_BITS, GRAMS, WORD_BYTES = 16, (1, 2, 3, 4), 32
-#: Labelled rows that a model is fitted on at most (about; rows are chosen by hash).
-FIT_ROWS = 20_000
+#: Labelled rows that a model is fitted on at most (about; rows are chosen by hash), in equal shares of the languages; and the share
+#: that each language has at least, however many languages there are.
+FIT_ROWS, LANGUAGE_ROWS = 20_000, 500
 #: Log odds that a change of language costs, and the least share of a language's letters that makes a script its own.
 SWITCH, OWN_SCRIPT = 6.0, 1e-3
 
 # Scripts by the first code point of their ranges (0: no letters).
 SCRIPT_RANGES = ((0x0000, 0), (0x0041, 1), (0x005B, 0), (0x0061, 1), (0x007B, 0), (0x00C0, 1), (0x0250, 1), (0x02B0, 0), (0x0370, 2), (0x0400, 3), (0x0530, 4), (0x0590, 5), (0x0600, 6), (0x0780, 7), (0x0900, 8), (0x0980, 9), (0x0A00, 10), (0x0A80, 11), (0x0B00, 12), (0x0B80, 13), (0x0C00, 14), (0x0C80, 15), (0x0D00, 16), (0x0E00, 17), (0x0E80, 18), (0x0F00, 19), (0x1000, 20), (0x10A0, 21), (0x1100, 22), (0x1200, 23), (0x1780, 24), (0x1800, 25), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x2C60, 1), (0x2DE0, 3), (0x2E00, 0), (0x3040, 26), (0x3100, 0), (0x3130, 22), (0x3190, 0), (0x3400, 27), (0xA000, 0), (0xA720, 1), (0xA800, 0), (0xAC00, 22), (0xD7B0, 0), (0xF900, 27), (0xFB00, 0), (0xFB50, 6), (0xFE00, 0), (0x20000, 27), (0x30000, 0))
-N_SCRIPTS = 28
+#: Letters of any other range; no language has them for its own, so all stay candidates.
+OTHER_SCRIPT, N_SCRIPTS = 28, 29
 
 _SLOT = np.uint64((1 << TABLE_BITS) - 1)
 
 
+@lru_cache(1 << 16)
+def _script(code: int, listed: int) -> int:
+    """Script of a code point whose range has the script listed."""
+    return (listed or OTHER_SCRIPT) if chr(code).isalpha() else 0
+
+
 def word_scripts(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Script of each word: that of its first letter, 0 if it has none."""
     n = len(buf)
@@ -47,7 +56,9 @@ def word_scripts(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     if len(lead):
         x, y, z, u = (b[lead + k] & (63 if k else 255) for k in range(4))
         code = np.where(x < 0xE0, (x & 31) << 6 | y, np.where(x < 0xF0, (x & 15) << 12 | y << 6 | z, (x & 7) << 18 | y << 12 | z << 6 | u))
-        script[lead] = own[np.searchsorted(begin, code, "right") - 1]
+        codes, which = np.unique(np.minimum(code, 0x10FFFF), return_inverse=True)
+        listed = own[np.searchsorted(begin, codes, "right") - 1]
+        script[lead] = np.array([_script(c, k) for c, k in zip(codes.tolist(), listed.tolist(), strict=True)], np.uint8)[which]
     letters = np.flatnonzero(script)
     first = np.searchsorted(letters, s)
     at = letters[np.minimum(first, max(0, len(letters) - 1))] if len(letters) else np.zeros(len(s), np.int64)
@@ -191,10 +202,8 @@ def _predict(model, switch: float, spans: bool):
                 share = np.bincount(doc * k + label, weights=weight, minlength=n * k).reshape(n, k)
                 total = share.sum(1)
                 top = share.argmax(1)
-                names, score = [m.names[i] for i in top], np.where(total > 0, share[np.arange(n), top] / np.maximum(1, total), 0.0)
-                for i in np.flatnonzero(total == 0):
-                    text = buf[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace")
-                    names[i], score[i] = (m.names[0] if any(c.isalpha() for c in text) else "und"), 0.0
+                names = [m.names[i] if letters else "und" for i, letters in zip(top, total, strict=True)]
+                score = np.where(total > 0, share[np.arange(n), top] / np.maximum(1, total), 0.0)
                 columns = [part.column("key"), pa.array(names, pa.string()), pa.array(score)]
                 if spans:
                     columns.append(pa.array([_spans_of(m, s, e, label, buf, off[i], a, b) for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True))], SPAN_TYPE))
@@ -239,12 +248,16 @@ def keep_languages(df: DataFrame, least_share: float, text_col: str = "text", la
 
 
 def fit_language_model(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> LanguageModel:
-    """Fits on rows with a text and a language; of more than fit_rows such rows a share of about fit_rows, chosen by a hash of the id."""
+    """Fits on rows with a text and a language: of each language all rows, or a share of about fit_rows / languages (LANGUAGE_ROWS at
+    least) chosen by a hash of the id, so that a rare language is learned from all its rows in a table of any size."""
     small_batches(df.sparkSession)
     rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("mark"))
-    n = rows.count()
-    if n > fit_rows:
-        rows = rows.where(F.pmod("mark", F.lit(1 << 20)) < math.ceil(fit_rows / n * (1 << 20)))
+    n = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language, as the model has
+    share = max(LANGUAGE_ROWS, fit_rows // max(1, len(n)))
+    rare = F.pmod("mark", F.lit(1 << 20))
+    for r in n:
+        if r["n"] > share:
+            rows = rows.where((F.col("lang") != r["lang"]) | (rare < math.ceil(share / r["n"] * (1 << 20))))
     counted = rows.select("text", "lang").mapInArrow(_count_grams, "lang string, table binary")
     un = zstandard.ZstdDecompressor()
     merged = counted.groupBy("lang").applyInPandas(_add_tables, "lang string, table binary")
@@ -255,8 +268,10 @@ def identify_languages(df: DataFrame, text_col: str = "text", lang_col: str = "l
     """One row per document: id_col, held_out boolean, lang_pred string, score double (and spans, if asked for).
 
     Rows whose crc32(id as text) mod folds is held are never learned from. Null texts and texts without a letter are und with
-    score 0; without any labelled row all texts are und. The score is the share of the letters' bytes in words of lang_pred.
-    Ties go to the first language by name; repeated rows get equal results; an empty table gives no row."""
+    score 0; without any labelled row all texts are und. Letters of a script that no language uses are scored by their n-grams in
+    all languages. The score is the share of the letters' bytes in words of lang_pred. Texts of any length are read whole. Ties go
+    to the first language by name; repeated rows get equal results; other columns of df, whatever their names, have no part in
+    this; an empty table gives no row."""
     spark = df.sparkSession
     small_batches(spark)
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % folds == held

@@ -269,20 +269,23 @@ def keep_quality(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     counted = _counted(df, stash, df.schema[id_col].dataType.simpleString(), text_col, id_col, lang_col, source_col)
     params = estimates(counted, stash, share, tail, steps)
     names, at = df.columns, df.columns.index(text_col)
+    own = "__"  # no column of df begins with it
+    while any(c.startswith(own) for c in names):
+        own += "_"
 
     def run(batches):
         for batch in batches:
             for rows, buf, off in tk.text_chunks(pa.RecordBatch.from_arrays([batch.column(at)], ["text"]), "text"):
                 part = batch.slice(rows.start, rows.stop - rows.start)
                 failed, x = _judge(text_stats(buf, off))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(failed), pa.array(list(x), pa.list_(pa.float64()))], names=[*part.schema.names, "__failed", "__x"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", __peer string, __failed boolean, __x array<double>"
-    beside = df.withColumn("__peer", _peer(lang_col, source_col)).mapInArrow(run, schema)
-    renamed = params.select(F.col("peer").alias("__peer"), F.struct("mu", "inv").alias("__params"))
-    joined = beside.where("not __failed").join(renamed, "__peer", "left")
-    away = [F.col("__x")[i] - F.col("__params.mu")[i] for i in range(P)]
-    d = sum((away[i] * away[j] * F.col("__params.inv")[i * P + j] for i in range(P) for j in range(P)), F.lit(0.0))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(failed), pa.array(list(x), pa.list_(pa.float64()))], names=[*part.schema.names, f"{own}failed", f"{own}x"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", {own}peer string, {own}failed boolean, {own}x array<double>"
+    beside = df.withColumn(f"{own}peer", _peer(lang_col, source_col)).mapInArrow(run, schema)
+    renamed = params.select(F.col("peer").alias(f"{own}peer"), F.struct("mu", "inv").alias(f"{own}params"))
+    joined = beside.where(~F.col(f"{own}failed")).join(renamed, f"{own}peer", "left")
+    away = [F.col(f"{own}x")[i] - F.col(f"{own}params.mu")[i] for i in range(P)]
+    d = sum((away[i] * away[j] * F.col(f"{own}params.inv")[i * P + j] for i in range(P) for j in range(P)), F.lit(0.0))
     return joined.where(d <= chi2_quantile(1 - tail, P)).select(names)
 
 

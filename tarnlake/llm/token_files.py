@@ -1,8 +1,9 @@
 """Token ids in binary files: fixed-size blocks, transposed into bit or byte planes, each compressed with zstandard.
 
-File: MAGIC, the compressed planes of all blocks one after another, the compressed footer, its length (8 bytes), MAGIC.
-The footer (JSON) holds the chunk index (for each block its place, number of ids and the sizes of its planes) and the
-document table (ids and numbers of tokens). A plane that is zero throughout takes no bytes.
+File: MAGIC, the compressed planes of all blocks and the compressed parts of the document table, as they were filled, the
+compressed footer, its length (8 bytes), MAGIC. The footer (JSON) holds the chunk index (for each block its place, number of ids and
+the sizes of its planes) and the places and sizes of the document table's parts (ids and numbers of tokens, JSON). A plane that is
+zero throughout takes no bytes. Writer and reader hold one block and one part of the table at a time.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from .common import Stash, open_folder, partitions, put_file, small_batches
 MAGIC = b"TLTOKEN1"
 #: Ids of one block.
 BLOCK_IDS = 1 << 16
+#: Bytes of text of one file, about: at most, and at least as long as that leaves a file for each shuffle partition.
+FILE_BYTES, LEAST_FILE_BYTES = 64 << 20, 1 << 20
+#: Documents of one part of a file's document table.
+TABLE_ROWS = 4096
 
 
 def to_planes(ids: np.ndarray, kind: str = "byte") -> list[np.ndarray]:
@@ -56,7 +61,7 @@ class TokenFileWriter:
     def __init__(self, kind: str = "byte", level: int = 1, block: int = BLOCK_IDS):
         self.kind, self.block, self.press = kind, block, zstandard.ZstdCompressor(level=level)
         self.held: list[np.ndarray] = []
-        self.n_held, self.place, self.index, self.keys, self.counts = 0, len(MAGIC), [], [], []
+        self.n_held, self.place, self.index, self.keys, self.counts, self.table = 0, len(MAGIC), [], [], [], []
 
     def _block(self, ids: np.ndarray) -> bytes:
         parts = [self.press.compress(p.tobytes()) if p.any() else b"" for p in to_planes(ids, self.kind)]
@@ -64,9 +69,19 @@ class TokenFileWriter:
         self.place += sum(map(len, parts))
         return b"".join(parts)
 
+    def _part(self) -> bytes:
+        """The next part of the document table."""
+        data = self.press.compress(json.dumps([self.keys[:TABLE_ROWS], self.counts[:TABLE_ROWS]]).encode())
+        self.table.append([self.place, len(data)])
+        self.place += len(data)
+        del self.keys[:TABLE_ROWS], self.counts[:TABLE_ROWS]
+        return data
+
     def feed(self, keys: list, counts: list[int], ids: np.ndarray) -> Iterator[bytes]:
         self.keys += keys
         self.counts += counts
+        while len(self.keys) >= TABLE_ROWS:
+            yield self._part()
         self.held.append(ids.astype(np.uint32))
         self.n_held += len(ids)
         if self.n_held >= self.block:
@@ -79,7 +94,9 @@ class TokenFileWriter:
     def close(self) -> Iterator[bytes]:
         if self.n_held:
             yield self._block(np.concatenate(self.held))
-        foot = self.press.compress(json.dumps({"kind": self.kind, "index": self.index, "keys": self.keys, "counts": self.counts}).encode())
+        if self.keys:
+            yield self._part()
+        foot = self.press.compress(json.dumps({"kind": self.kind, "index": self.index, "table": self.table}).encode())
         yield foot + struct.pack("<Q", len(foot)) + MAGIC
 
 
@@ -95,7 +112,7 @@ class TokenFileReader:
             raise ValueError(f"{name} is no token file")
         length = struct.unpack("<Q", tail[:8])[0]
         foot = json.loads(zstandard.ZstdDecompressor().decompress(self.file.read_at(length, size - 16 - length)))
-        self.kind, self.index, self.keys, self.counts = foot["kind"], foot["index"], foot["keys"], foot["counts"]
+        self.kind, self.index, self.table = foot["kind"], foot["index"], foot["table"]
         self.unpress = zstandard.ZstdDecompressor()
 
     def blocks(self) -> Iterator[np.ndarray]:
@@ -106,10 +123,16 @@ class TokenFileReader:
                 at += k
             yield from_planes(planes, n, self.kind)
 
+    def rows(self) -> Iterator[tuple[object, int]]:
+        """Key and number of tokens of each document, in file order."""
+        for place, size in self.table:
+            keys, counts = json.loads(self.unpress.decompress(self.file.read_at(size, place)))
+            yield from zip(keys, counts, strict=True)
+
     def documents(self) -> Iterator[tuple[object, list[np.ndarray]]]:
         """Key and ids (in pieces) of each document, in file order."""
         blocks, now, at = self.blocks(), np.zeros(0, np.uint32), 0
-        for key, n in zip(self.keys, self.counts, strict=True):
+        for key, n in self.rows():
             parts = []
             while n:
                 if at == len(now):
@@ -122,8 +145,9 @@ class TokenFileReader:
 
 def write_token_files(df: DataFrame, tokenizer_path: str, folder: str, end_id: int | None, text_col: str = "text", id_col: str = "doc_id", kind: str = "byte", n_files: int | None = None) -> DataFrame:
     """Encodes all texts and writes them in ascending order of id_col, one file a range of ids. Returns the manifest: file
-    string, part int, n_docs long, n_ids long. Null texts are empty (with end_id they have one id); null ids come first; rows with
-    equal ids follow each other by text, repeated rows stay. An empty table gives no file."""
+    string, part int, n_docs long, n_ids long. Null texts are empty (with end_id they have one id); texts of any length are written
+    whole; null ids come first; rows with equal ids follow each other by a hash of their texts (so that one id can have many files)
+    and then by text, repeated rows stay. Other columns of df, whatever their names, have no part in this. An empty table gives no file."""
     spark = df.sparkSession
     small_batches(spark)
     tables = spark.sparkContext.broadcast(LibraryVocabulary.load(tokenizer_path))
@@ -151,8 +175,12 @@ def write_token_files(df: DataFrame, tokenizer_path: str, folder: str, end_id: i
             put_file(folder, name, content(x for group in ([head], every) for x in group))
             yield pa.RecordBatch.from_pydict({"file": [name], "part": pa.array([part], pa.int32()), "n_docs": [totals[0]], "n_ids": [totals[1]]})
 
+    if n_files is None:
+        size = df.select(F.sum(F.octet_length(text_col))).first()[0] or 0
+        n_files = max(1, -(-size // FILE_BYTES), min(partitions(spark), -(-size // LEAST_FILE_BYTES)))
     # Sorting the texts and not the ids keeps the shuffle small.
-    rows = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).repartitionByRange(n_files or partitions(spark), "key").sortWithinPartitions("key", "text")
+    rows = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
+    rows = rows.repartitionByRange(n_files, "key", "mark").sortWithinPartitions("key", "mark", "text").select("key", "text")
     return rows.mapInArrow(run, "file string, part int, n_docs long, n_ids long")
 
 

@@ -1,11 +1,14 @@
 """Each stage of the pipeline on its own input, and the whole of it."""
 
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
-from tarnlake.llm import jaccard, langid, quality, secret_scan  # noqa: E402
+from tarnlake.llm import common, jaccard, langid, quality, secret_scan  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,8 +35,93 @@ def test_stages(spark, tmp_path):
     assert kept[4].where("n_chars != length(text)").count() == 0
 
 
-def test_run(spark):
-    assert pipeline.run(spark, SF).count() > 0
+def test_run(spark, tmp_path, monkeypatch):
+    """No table is left but the result."""
+    monkeypatch.setattr(common, "shared_root", lambda spark: f"file://{tmp_path}/shared")
+    rows = pipeline.run(spark, SF).count()
+    left = {tuple(str(p.relative_to(f"{tmp_path}/shared")).split("/")[:2]) for p in (tmp_path / "shared").rglob("*.parquet")}
+    assert rows > 0 and {(a.split("-")[0], b) for a, b in left} == {("corpus", "packing")}
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, key string, g int, peer string, __x int"
+
+
+def test_odd_tables(spark):
+    """Each stage on an empty table, and on nulls, empty and long texts, repeats and columns of its own inner names."""
+    rng = np.random.default_rng(0)
+    words = "the house and river of light with stone this that from here water".split()
+    text = lambda: " ".join(rng.choice(words, 60))
+    same, long = text(), " ".join(rng.choice(words, 40_000))
+    rows = [(k, text(), "en", "s", 1, "clash", 1, "clash", 2) for k in range(60)]
+    rows += [(100, None, "en", "s", None, None, None, None, None), (101, "", None, None, 0, "", 0, "", 0), (102, long, "en", None, None, "k", 1, "p", 3), (103, same, None, "s", 5, "k", 1, "p", 3), (103, same, None, "s", 5, "k", 1, "p", 3), (None, text(), None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, ODD).repartition(3)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], ODD), SF).count() == 0, name
+        out = stage(spark, df, SF)
+        got = out.collect()
+        if name != "packing":
+            assert out.columns == df.columns and {r["key"] for r in got} <= {r[5] for r in rows}
+        ids = [r["doc_id"] for r in got]
+        if name in ("quality_rules", "language"):
+            assert 100 not in ids and 101 not in ids and ids.count(103) == 2 and 102 in ids
+        if name == "near_duplicates":
+            assert len(got) == len(rows) - 1 and ids.count(103) == 1 and ids.count(None) == 1
+        if name == "secrets":
+            assert sorted(map(str, got)) == sorted(map(str, df.withColumn("n_chars", F.when(F.col("text").isNull() | F.col("n_chars").isNull(), F.col("n_chars")).otherwise(F.length("text"))).collect()))
+        if name == "packing":
+            assert {r["doc_id"]: r["doc_tokens"] for r in got if r["doc_id"] in (100, 101)} == {100: 1, 101: 1}
+
+
+def test_against_plain_versions(spark):
+    """What each stage keeps, by versions of its rules that share no code with it: counted rules, Jaccard of all pairs, and whole texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    table = {r["doc_id"]: r for r in docs.collect()}
+    word = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    first = [r["doc_id"] for r in pipeline.quality_rules(spark, docs, SF).collect()]
+
+    def base_failed(t):
+        w, at = word(t), {}
+        for i in range(len(w) - 7):
+            at.setdefault(tuple(w[i : i + 8]), []).append(i)
+        return len(w) < 20 or 100 * len({j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + 8)}) > 30 * len(w)
+
+    passed = {k for k, r in table.items() if not base_failed(r["text"])}
+    rejected = passed - set(first)
+    assert set(first) <= passed and len(rejected) <= 0.1 * len(passed)
+    # Those rejected by the estimates are unlike the others in symbols, word length, long words or repeats.
+    for k in rejected:
+        w = word(table[k]["text"])
+        strange = [sum(c in "#*$%&|<>" for c in table[k]["text"]) / len(w) > 0.2, sum(map(len, w)) / len(w) > 7.5, sum(len(x) > 24 for x in w) / len(w) > 0.1, len(table[k]["text"].split("\n")) > len(set(table[k]["text"].split("\n")))]
+        assert any(strange), table[k]["text"][:200]
+    kept = docs.where(F.col("doc_id").isin(first))
+    sets = {}
+    for k in first:
+        w = word(table[k]["text"].translate({c: c + 32 for c in range(65, 91)}))
+        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    up = {k: k for k in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    assert sorted(r["doc_id"] for r in pipeline.near_duplicates(spark, kept, SF).collect()) == sorted(k for k in sets if root(k) == k)
+    speaks = {r["doc_id"] for r in pipeline.language(spark, kept, SF).collect()}
+    assert sum(k in speaks for k in first) >= 0.97 * len(first)
+    pieces = {}
+    for r in pipeline.pack(spark, kept, SF).collect():
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["doc_tokens"]))
+    for k in first:
+        at = 0
+        for start, length, n in sorted(pieces[k]):
+            assert start == at
+            at += length
+        assert at == n
 
 
 def test_repeated_ids(spark):

@@ -195,6 +195,25 @@ def test_best_fill_is_optimal():
         assert sum(k * n for k, n in used.items()) == max(s for s in sums if s <= 60) and all(n <= lengths.count(k) for k, n in used.items())
 
 
+def test_windows_are_closed():
+    """No window but the last stays short, items stay whole but for one cut a window, and nothing becomes crumbs."""
+    rng = np.random.default_rng(3)
+    for lengths in (rng.integers(300, 700, 1024).tolist(), [600] * 500, rng.integers(1, 1024, 700).tolist(), [1023] * 50, [1] * 3000, [513] * 7, []):
+        groups = packing.pack_lengths(lengths, 1024, 8)
+        assert all(1016 <= sum(p.length for p in g) <= 1024 for g in groups[:-1]) and len(groups) <= sum(lengths) // 1016 + 1
+        cover = defaultdict(list)
+        for g in groups:
+            for p in g:
+                cover[p.item].append((p.begin, p.length))
+        for i, n in enumerate(lengths):
+            at = 0
+            for begin, length in sorted(cover[i]):
+                assert begin == at and length > 0
+                at += length
+            assert at == n
+        assert sum(len(c) for c in cover.values()) <= len(lengths) + len(groups)
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text.translate({c: c + 32 for c in range(65, 91)}))
     return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)])
@@ -279,7 +298,14 @@ def test_components(spark):
     assert got == {k: x for k, x in expected.items() if any(k in p and p[0] != p[1] for p in e)}
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("cell", [1024, 8])
+def test_embeddings(spark, monkeypatch, cell):
+    """In one cell, and in many cells of many blocks."""
+    monkeypatch.setattr(embed_dedup, "CELL", cell)
+    if cell < 1024:
+        monkeypatch.setattr(embed_dedup, "LEAST_BLOCK", 4)
+        monkeypatch.setattr(embed_dedup, "BLOCK", 4)
+        monkeypatch.setattr(embed_dedup, "BLOCK_BYTES", 4 * 64)
     rng = np.random.default_rng(7)
     x = rng.normal(size=(120, 8))
     for k in range(40, 80):
@@ -288,7 +314,9 @@ def test_embeddings(spark):
         x[k] = x[1] + 0.3 * rng.normal(size=8)
     x[100] = x[99]
     rows = [(k, v.tolist(), 0) for k, v in enumerate(x)] + [(200, None, 0), (201, [0.0] * 8, 0), (202, [float("nan")] * 8, 0), (203, [], 0), (204, [1.0, None], 0), (205, [1.0, 2.0], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    # Squares of these overflow or vanish; equal directions link all the same. Columns of other names have no part in it.
+    rows += [(300, [1e200, 1e200, 0.0], 0), (301, [1e200, 1e200, 0.0], 0), (302, [3e-170, 3e-170, 1e-180], 0), (303, [1.0, 1.0, 0.0], 0), (304, [1.0, -1.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit("clash") for c in ("key", "rep", "vec", "cell", "n", "a", "b")}).repartition(4)
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     hit = unit @ unit.T >= 0.9
     np.fill_diagonal(hit, False)
@@ -297,8 +325,28 @@ def test_embeddings(spark):
     assert len(got) == len(rows)
     for k in range(120):
         assert (got[k]["n_links"], got[k]["component_id"], got[k]["kept"]) == (hit[k].sum(), label[k], label[k] == k), k
-    for k in range(200, 206):
+    for k in (*range(200, 206), 304):
         assert (got[k]["n_links"], got[k]["component_id"], got[k]["kept"]) == (0, k, True)
+    assert [(got[k]["n_links"], got[k]["component_id"]) for k in range(300, 304)] == [(3, 300)] * 4
+
+
+def test_guests_bound(spark):
+    """Vectors that link across cells are always guests; clustered vectors are guests of few cells."""
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(12, 16))
+    x = np.concatenate([c + 0.3 * rng.normal(size=(40, 16)) for c in centres])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    p, reach = x[::40], math.sqrt(0.2)
+    home = (x @ p.T).argmax(1)
+    for j in range(1, 12):
+        own = x[home == j]
+        guest = embed_dedup._margins(own, p, j) <= reach + 1e-9
+        for i in range(j):
+            linked = (own @ x[home == i].T >= 0.9).any(1)
+            assert not (linked & ~guest[:, i]).any()
+    df = spark.createDataFrame([(k, 1, v.tobytes()) for k, v in enumerate(x)], "rep long, copies long, vec binary")
+    _, blocks, _, _ = embed_dedup.vector_blocks(df, Stash(spark, "t"), 0.9)
+    assert 1 <= embed_dedup.replication(blocks) <= 3
 
 
 def test_language(spark):
@@ -591,7 +639,7 @@ def test_warc(spark):
 
 def test_warc_dictionary_frame():
     records = [warc.make_record(k, f"http://x/{k}", (b"<html><body>%d text " % k) * 50, None) for k in range(300)]
-    data = b"".join(warc.write_archive(iter(records)))
+    data = b"".join(warc.write_archive(iter(records), warc.build_dictionary(records)))
     assert struct.unpack("<I", data[:4])[0] == warc.DICTIONARY_FRAME and len(data) < sum(map(len, records)) / 4
 
 
