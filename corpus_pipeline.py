@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnlake.llm import idfilter, jaccard, langid, packing, quality, secret_scan
-from tarnlake.llm.common import Stash
+from tarnlake.llm.common import Stash, temporary
 from tarnlake.llm.queries import TOKENIZER
 from tarnlake.session import ship
 
@@ -14,14 +14,21 @@ from tarnlake.session import ship
 LEAST_LANGUAGE_SHARE = 0.5
 
 
+# Every stage takes an empty table (and returns one), nulls in any column, texts of any length, repeated rows and further columns of
+# any name, and gives all columns back in their order; what becomes of such rows is said at each.
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the counted rules and the outlier rule keep."""
+    """Documents that the counted rules and the outlier rule keep. Null and empty texts fail the counted rules and go; null languages
+    and sources are values like others; repeated rows stay or go together."""
     ship(spark)
     return quality.keep_quality(docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: not und, and not a mixture in which none has half of the letters."""
+    """Documents with a language: not und, and not a mixture in which none has half of the letters. Null texts and texts without a
+    letter go; rows with a null language or id are judged like others (but not learned from without a language); repeated rows
+    stay or go together; if no row has a language, all go."""
     ship(spark)
     return langid.keep_languages(docs, LEAST_LANGUAGE_SHARE)
 
@@ -41,7 +48,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked in their texts; n_chars follows where it is given."""
+    """All documents, with secrets masked in their texts; n_chars follows where it is given. Null and empty texts, and null counts, stay
+    as they are; repeated rows are masked alike."""
     ship(spark)
     masked = secret_scan.redact_secrets(docs)
     if "n_chars" in docs.columns:
@@ -51,7 +59,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 1024 tokens."""
+    """Pieces of sequences of at most 1024 tokens. Null and empty texts are one token, the end; repeated rows are documents of their own."""
     ship(spark)
     return packing.pack_documents(docs, TOKENIZER, window=1024, end_id=0)
 
@@ -62,9 +70,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written as Parquet and read by the next."""
-    stash = Stash(spark, "corpus")
+    """All stages over documents; each is written as Parquet and read by the next. What a stage made besides its result is removed as
+    soon as that is written, and a stage's result as soon as the next one is. An empty table gives no row."""
+    stash, before = Stash(spark, "corpus"), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stash.save(stage(spark, docs, sf_dir), name)
+        with temporary():
+            docs = stash.save(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            stash.drop(before)
+        before = name
     return docs
