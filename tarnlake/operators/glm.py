@@ -221,7 +221,7 @@ def fit_glmm(df: DataFrame, y: str, columns: list[str], group: str, family: str
     from ..session import cut
 
     fam, lnk = create_family(family, link)
-    rows = df.select(F.col(group).alias("g"), F.col(y).cast("double").alias("y"), *(F.col(c).cast("double") for c in columns)).dropna()
+    rows = df.select(F.col(group).alias("g"), F.col(y).cast("double").alias("y"), *(F.col(c).cast("double") for c in columns)).dropna().persist()
     effects = cut(rows.select("g").distinct().withColumn("effect", F.lit(0.0)))
     variance, residual, old, fit, k = 1.0, 1.0, None, None, 0
     for k in range(1, max_iter + 1):
@@ -244,6 +244,7 @@ def fit_glmm(df: DataFrame, y: str, columns: list[str], group: str, family: str
         if old is not None and np.abs(beta - old[0]).max() < tol and abs(variance - old[1]) < tol * (1 + variance):
             break
         old = (beta, variance)
+    rows.unpersist()
     return MixedResult(fit, group, variance, residual, effects.withColumnRenamed("g", group), k)
 
 
@@ -322,7 +323,13 @@ class GLM(Saveable):
             self.models = {"mixed": fit_glmm(df, y, columns, group, self.family, self.link)}
         elif isinstance(y, list):
             data = df.dropna(subset=[*y, *columns])
-            self.models = {t: fit_glm(data, t, columns, **options) for t in y}
+            ones = total([F.col(t).cast("double") for t in y])
+            share = data.agg(F.avg(F.when((ones == 1) & (F.greatest(*(F.col(t).cast("double") for t in y)) == 1), 1.0).otherwise(0.0))).first()[0]
+            if self.family == "binomial" and len(y) > 1 and share == 1.0:  # exclusive targets are classes of one model
+                label = F.coalesce(*(F.when(F.col(t).cast("double") == 1, F.lit(t)) for t in y))
+                self.models = {"multinomial": fit_multinomial(data.withColumn("__class", label), "__class", columns)}
+            else:
+                self.models = {t: fit_glm(data, t, columns, **options) for t in y}
         elif self.family == "binomial" and dict(df.dtypes)[y] == "string":
             classes = [r[0] for r in df.select(y).dropna().distinct().orderBy(y).collect()]
             if self.multiclass == "multinomial":

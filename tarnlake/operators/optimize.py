@@ -7,6 +7,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Objective = Callable[[np.ndarray], tuple[float, np.ndarray]]
 
@@ -154,3 +157,43 @@ def train_function(f: Objective, start: np.ndarray, optimizer: str | Optimizer =
             break
         x = opt.step(x, g)
     return {"x": x, "losses": losses, "epochs": len(losses)}
+
+
+def train(objective: Callable, df: DataFrame, columns: list[str], y: str, id_col: str, start: np.ndarray, optimizer: str | Optimizer = "adam", epochs: int = 100, batches: int = 1, callbacks: tuple = (), seed: int = 0, **options) -> dict:
+    """Mini-batch descent on all rows of a table: objective(parameters, x, y) gives the sum of losses and its gradient over an array of
+    rows. Each epoch deals the rows anew into batches by a hash; a batch is one aggregation, of one row a partition. Callbacks are
+    those of train_function(); one whose stop is true ends the run."""
+    made = create_optimizer(optimizer, **options) if isinstance(optimizer, str) else optimizer
+    params, history, p = np.asarray(start, float).copy(), [], len(columns)
+    rows = df.select(F.col(id_col).alias("id"), *(F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate([*columns, y]))).dropna().persist()
+    names = [f"x{k}" for k in range(p + 1)]
+    made.reset(len(params))
+
+    def partial(now: np.ndarray):
+        def run(frames):
+            n, loss, slope = 0, 0.0, np.zeros(len(now))
+            for f in frames:
+                data = f[names].to_numpy(float)
+                own, g = objective(now, data[:, :p], data[:, p])
+                n, loss, slope = n + len(data), loss + float(own), slope + g
+            if n:
+                yield pd.DataFrame({"n": [n], "loss": [loss], "g": [slope.tolist()]})
+
+        return run
+
+    for epoch in range(epochs):
+        total, count = 0.0, 0
+        for b in range(batches):
+            part = rows if batches == 1 else rows.where(F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), "id"), F.lit(batches)) == b)
+            got = part.mapInPandas(partial(params), "n long, loss double, g array<double>").collect()
+            n = sum(r["n"] for r in got)
+            if n:
+                params = made.step(params, np.sum([r["g"] for r in got], axis=0) / n)
+                total, count = total + sum(r["loss"] for r in got), count + n
+        history.append(total / max(1, count))
+        for call in callbacks:
+            call(epoch, history[-1], params, made)
+        if any(getattr(call, "stop", False) for call in callbacks):
+            break
+    rows.unpersist()
+    return {"params": params, "loss": history[-1] if history else math.nan, "history": history, "epochs": len(history)}

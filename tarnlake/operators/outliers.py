@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.expressions import total
 from .kernels import covariance, pick_sorted
 from .neighbours import nearest
-from .splits import sample_rows
 
 
 def _label(flag: Column) -> Column:
@@ -125,7 +124,8 @@ def _depths(tree: list, x: np.ndarray, rows: np.ndarray, depth: int, out: np.nda
 
 @dataclass
 class IsolationForest:
-    """Trees of a bounded sample (by hash of the id); rows are scored in Arrow batches by the broadcast trees."""
+    """Each tree is grown from max_samples rows of its own, drawn from all rows (a bounded sample by its nature); rows are scored in
+    Arrow batches by the broadcast trees."""
 
     n_estimators: int = 100
     max_samples: int = 256
@@ -138,11 +138,20 @@ class IsolationForest:
 
     def fit(self, df: DataFrame, columns: list[str], id_col: str) -> IsolationForest:
         self.columns, rng = columns, np.random.default_rng(self.seed)
-        rows = sample_rows(df.select(id_col, *columns), id_col, self.max_samples * 16, self.seed).select(*columns).collect()
-        pool = np.array([tuple(map(float, r)) for r in rows])
-        self.size = min(self.max_samples, len(pool))
+        held = df.select(F.xxhash64(F.lit(self.seed), F.col(id_col)).alias("h"), *(F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(columns))).dropna()
+        total_rows, asked = held.count(), self.max_samples * self.n_estimators
+        self.size = min(self.max_samples, total_rows)
+        if total_rows > 2 * asked:  # disjoint draws: a hash picks rows, and of these deals each to one tree
+            held = held.where(F.pmod("h", F.lit(1 << 40)) < math.ceil(1.25 * asked / total_rows * (1 << 40)))
+        pool = np.array([tuple(r) for r in held.orderBy("h", *held.columns[1:]).collect()], object)
+        x = pool[:, 1:].astype(float) if len(pool) else np.zeros((0, len(columns)))
+        if total_rows > 2 * asked:
+            order = rng.permutation(len(x))
+            draws = [order[k :: self.n_estimators][: self.size] for k in range(self.n_estimators)]
+        else:
+            draws = [rng.choice(len(x), self.size, replace=False) for _ in range(self.n_estimators)]
         limit = math.ceil(math.log2(max(2, self.size)))
-        self.trees = [_grow(pool[rng.integers(0, len(pool), self.size)], limit, rng) for _ in range(self.n_estimators)]
+        self.trees = [_grow(x[d], limit, rng) for d in draws]
         n = df.count()
         self.threshold = pick_sorted(self.score_samples(df).select("score"), "score", [min(n - 1, math.floor(self.contamination * n))])[0]
         return self

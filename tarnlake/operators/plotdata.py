@@ -155,11 +155,35 @@ def convex_hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return half(p) + half(p[::-1])
 
 
+def group_hulls(points: DataFrame, x: str, y: str, group: str) -> DataFrame:
+    """group, and the corners of its convex hull: tasks send the corners of their own rows only, and these are put together."""
+    kind = dict(points.dtypes)[group]
+    schema = f"g {kind}, corners array<struct<x:double,y:double>>"
+
+    def corners(frame) -> list[dict]:
+        hull = convex_hull(list(zip(frame["x"].tolist(), frame["y"].tolist(), strict=True)))
+        return [{"x": a, "y": b} for a, b in hull]
+
+    def partial(frames):
+        import pandas as pd
+
+        for f in frames:
+            own = [(g, corners(part)) for g, part in f.groupby("g")]
+            yield pd.DataFrame({"g": [g for g, _ in own], "corners": [c for _, c in own]})
+
+    def whole(frame):
+        import pandas as pd
+
+        every = pd.DataFrame([(p["x"], p["y"]) for c in frame["corners"] for p in c], columns=["x", "y"])
+        return pd.DataFrame({"g": [frame["g"].iloc[0]], "corners": [corners(every)]})
+
+    rows = points.select(F.col(group).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    return rows.mapInPandas(partial, schema).groupBy("g").applyInPandas(whole, schema)
+
+
 def ordiplot(scores: DataFrame, loadings, names: list[str], axes: tuple[str, str] = ("pc1", "pc2"), group: str | None = None) -> dict:
-    """Points, arrows, and for groups the extreme points of 64 directions (a hull of bounded size)."""
+    """Points, arrows, and for groups their convex hulls (the corners are collected: a plot draws them all)."""
     out = _plot("biplot", scores.select(*axes, *([group] if group else [])), x=axes[0], y=axes[1]) | {"arrows": loading_rows(np.asarray(loadings)[:, :2], names)}
     if group:
-        turns = [2 * math.pi * k / 64 for k in range(64)]
-        far = [F.max_by(F.struct(*axes), F.col(axes[0]) * math.cos(t) + F.col(axes[1]) * math.sin(t)).alias(f"h{k}") for k, t in enumerate(turns)]
-        out["hulls"] = {r[group]: convex_hull([tuple(r[f"h{k}"]) for k in range(64)]) for r in scores.groupBy(group).agg(*far).collect()}
+        out["hulls"] = {r["g"]: [(p["x"], p["y"]) for p in r["corners"]] for r in group_hulls(scores, *axes, group).collect()}
     return out

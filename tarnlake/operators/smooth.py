@@ -14,7 +14,6 @@ from ..functions import special as sp
 from ..functions.expressions import total
 from .glm import linear
 from .kernels import gram, pick_sorted, solve
-from .splits import sample_rows
 
 
 @dataclass
@@ -332,14 +331,17 @@ ACTIVATIONS = {"relu": (lambda z: np.maximum(0, z), lambda a: (a > 0).astype(flo
 
 @dataclass
 class MLPRegressor:
-    """Mini-batch descent on a bounded sample of rows; a linear output layer."""
+    """Mini-batch descent on all rows; a linear output layer. In a round each task takes a number of epochs over every Arrow batch of
+    its rows, from the weights of the round's start, and the tasks' weights are averaged by their rows. One task with one
+    batch is plain descent."""
 
     layers: tuple[int, ...] = (16,)
     activation: str = "relu"
     epochs: int = 200
     rate: float = 0.05
     batch: int = 32
-    sample: int = 50_000
+    round_epochs: int = 25
+    task_rows: int = 4096
     seed: int = 0
     weights: list = field(default_factory=list)
 
@@ -355,25 +357,58 @@ class MLPRegressor:
         return out
 
     def fit(self, df: DataFrame, columns: list[str], y: str, id_col: str) -> MLPRegressor:
-        rows = sample_rows(df.select(id_col, *columns, y).dropna(), id_col, self.sample, self.seed).select(*columns, y).collect()
-        data = np.array([tuple(map(float, r)) for r in rows])
-        self.columns, x, t = columns, data[:, :-1], data[:, -1:]
-        self.create([x.shape[1], *self.layers, 1])
-        rng, slope, self.losses = np.random.default_rng(self.seed + 1), ACTIVATIONS[self.activation][1], []
-        for _ in range(self.epochs):
-            order = rng.permutation(len(x))
-            for k in range(0, len(x), self.batch):
-                own = order[k : k + self.batch]
-                a = self._forward(x[own])
-                d = 2 * (a[-1] - t[own]) / len(own)
-                for j in range(len(self.weights) - 1, -1, -1):
-                    w, b = self.weights[j]
-                    back = d @ w.T
-                    self.weights[j] = (w - self.rate * a[j].T @ d, b - self.rate * d.sum(0))
-                    d = back * slope(a[j]) if j else back
-            self.losses.append(float(((self._forward(x)[-1] - t) ** 2).mean()))
+        self.columns, self.losses = columns, []
+        rows = df.select(*(F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate([*columns, y]))).dropna()
+        rows = rows.coalesce(max(1, rows.count() // self.task_rows)).persist()  # small tables: few tasks, each with enough rows
+        self.create([len(columns), *self.layers, 1])
+        shapes = [v.shape for pair in self.weights for v in pair]
+        for k in range(0, self.epochs, self.round_epochs):
+            epochs = min(self.round_epochs, self.epochs - k)
+            got = rows.mapInPandas(self._round(epochs, k), "n long, s double, w array<double>").collect()  # one row a partition
+            n = np.array([r["n"] for r in got], float)
+            if not n.sum():
+                raise ValueError("no row has all columns")
+            self.losses.append(sum(r["s"] for r in got) / n.sum())  # at the round's start
+            flat, at, parts = np.average(np.array([r["w"] for r in got]), axis=0, weights=n), 0, []
+            for s in shapes:
+                size = int(np.prod(s))
+                parts.append(flat[at : at + size].reshape(s))
+                at += size
+            self.weights = list(zip(parts[::2], parts[1::2], strict=True))
+        rows.unpersist()
         return self
 
+    def _round(self, epochs: int, salt: int):
+        model = self
+
+        def run(frames):
+            from pyspark import TaskContext
+
+            weights = [(w.copy(), b.copy()) for w, b in model.weights]
+            own = MLPRegressor(model.layers, model.activation, weights=weights)
+            rng, n, s = np.random.default_rng([model.seed, salt, TaskContext.get().partitionId()]), 0, 0.0
+            for f in frames:
+                data = f.to_numpy(float)
+                n, s = n + len(data), s + float(((model._forward(data[:, :-1])[-1] - data[:, -1:]) ** 2).sum())
+                for _ in range(epochs):
+                    own._epoch(data[:, :-1], data[:, -1:], rng, model.batch, model.rate)
+            if n:
+                yield pd.DataFrame({"n": [n], "s": [s], "w": [np.concatenate([v.reshape(-1) for pair in own.weights for v in pair])]})
+
+        return run
+
+    def _epoch(self, x: np.ndarray, t: np.ndarray, rng: np.random.Generator, batch: int, rate: float) -> None:
+        slope, order = ACTIVATIONS[self.activation][1], rng.permutation(len(x))
+        for k in range(0, len(x), batch):
+            own = order[k : k + batch]
+            a = self._forward(x[own])
+            d = 2 * (a[-1] - t[own]) / len(own)
+            for j in range(len(self.weights) - 1, -1, -1):
+                w, b = self.weights[j]
+                back = d @ w.T
+                self.weights[j] = (w - rate * a[j].T @ d, b - rate * d.sum(0))
+                d = back * slope(a[j]) if j else back
+
     def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         shared = df.sparkSession.sparkContext.broadcast(self)
 

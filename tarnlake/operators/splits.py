@@ -16,6 +16,16 @@ def shuffled(id_col: str, seed: int = 0) -> list[Column]:
     return [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))), F.col(id_col)]
 
 
+def random_numbers(id_col: str, seed: int = 0) -> Column:
+    """Uniform numbers in [0, 1) that a seed and the id fix, whatever the partitions."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+
+
+def random_integers(id_col: str, low: int, high: int, seed: int = 0) -> Column:
+    """Whole numbers from low to high - 1."""
+    return (F.lit(low) + F.floor(random_numbers(id_col, seed) * (high - low))).cast("long")
+
+
 def train_test_split(df: DataFrame, id_col: str, ratio: float = 0.8, shuffle: bool = True, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """The first floor(n ratio) rows of the order, and the rest."""
     marked = positions(df, shuffled(id_col, seed) if shuffle else [F.col(id_col)], "__at")

@@ -1,5 +1,10 @@
-"""Decision trees and forests. A tree grows level by level from counts of (node, feature, bin), so rows stay where they are;
-thresholds are midpoints of neighbouring values (of at most max_bins quantiles where a feature has more values)."""
+"""Decision trees and forests.
+
+All trees of a forest grow together, level by level: rows stay where they are and only look up the node they are in. A level takes one
+aggregation by (tree, node, feature, value) and running totals over it, of no task that sees all values of a feature; these
+give the gain of every cut between two values. Thresholds are midpoints of neighbouring values; with max_bins, values are first
+put into that many quantiles, and thresholds are their edges.
+"""
 
 from __future__ import annotations
 
@@ -7,23 +12,82 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import total
+from ..session import cut
+from .kernels import running_totals
 from .metrics import classification_error, entropy, gini
 
 
-def _cut_values(df: DataFrame, columns: list[str], max_bins: int) -> dict[str, list[float]]:
-    """Candidate thresholds: midpoints of the distinct values, or of quantiles."""
-    out = {}
-    for c in columns:
-        seen = [r[0] for r in df.select(F.col(c).cast("double")).distinct().limit(max_bins + 1).collect()]
-        if len(seen) > max_bins:
-            seen = df.agg(F.percentile_approx(F.col(c).cast("double"), F.array(*(F.lit(k / max_bins) for k in range(max_bins + 1))), F.lit(100 * max_bins))).first()[0]
-        v = sorted({x for x in seen if x is not None})
-        out[c] = [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)]
-    return out
+def _binned(df: DataFrame, columns: list[str], max_bins: int | None) -> list[Column]:
+    """The columns as doubles, or as the least quantile that is not below them."""
+    x = [F.col(c).cast("double") for c in columns]
+    if max_bins is None:
+        return x
+    places = F.array(*(F.lit(k / max_bins) for k in range(max_bins + 1)))
+    edges = df.agg(*(F.percentile_approx(c, places, F.lit(100 * max_bins)) for c in x)).first()
+
+    def up(c: Column, own: list[float]) -> Column:
+        return F.array_min(F.filter(F.array(*(F.lit(float(e)) for e in sorted(set(own)))), lambda e: e >= c))
+
+    return [up(c, own) for c, own in zip(x, edges, strict=True)]
+
+
+def grow(trees: list[DecisionTree], df: DataFrame, columns: list[str], y: str, weights: list[Column], max_bins: int | None) -> None:
+    """Grows trees of one kind on the rows of df, each with its own weights; rows of no weight take no part."""
+    spark, one = df.sparkSession, trees[0]
+    rng = [np.random.default_rng(t.seed) for t in trees]
+    width = len(one.classes) if one.task == "classification" else 3
+    target = F.col(y).cast("double")
+    own = [F.when(F.col(y) == F.lit(c), 1.0).otherwise(0.0) for c in one.classes] if one.task == "classification" else [F.lit(1.0), target, target * target]
+    rows = df.select(F.array(*_binned(df, columns, max_bins)).alias("x"), F.array(*own).alias("s"), F.posexplode(F.array(*weights)).alias("tree", "w")).where("w > 0")
+    at = rows.select("tree", F.lit(1).cast("long").alias("node"), "x", F.transform("s", lambda v: v * F.col("w")).alias("s"))
+    roots = {r["tree"]: [r[f"s{k}"] for k in range(width)] for r in at.groupBy("tree").agg(*(F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(width))).collect()}
+    for k, t in enumerate(trees):
+        t.columns, t.nodes = columns, {1: {"stats": [float(v) for v in roots.get(k, [0.0] * width)]}}
+    level = [(k, 1) for k in range(len(trees))]
+    names, left = [f"s{k}" for k in range(width)], [f"l{k}" for k in range(width)]
+    for _ in range(one.max_depth):
+        plan, offset = [], np.zeros(width)
+        for k, i in sorted(level):
+            whole = np.array(trees[k].nodes[i]["stats"])
+            if one._size(whole) < one.min_samples_split or one._impurity(whole) <= 0:
+                continue
+            chosen = range(len(columns)) if not one.max_features else sorted(rng[k].choice(len(columns), min(one.max_features, len(columns)), replace=False).tolist())
+            for f in chosen:
+                plan.append((k, i, f, offset.tolist(), whole.tolist()))
+                offset = offset + whole
+        if not plan:
+            return
+        asked = spark.createDataFrame(plan, "tree int, node long, f int, before array<double>, whole array<double>")  # a row for each open node and feature
+        spread = at.join(F.broadcast(asked.select("tree", "node", "f")), ["tree", "node"])
+        sums = cut(spread.groupBy("tree", "node", "f", F.col("x")[F.col("f")].alias("v")).agg(*(F.sum(F.col("s")[k]).alias(n) for k, n in enumerate(names))))
+        order = [F.col(c) for c in ("tree", "node", "f", "v")]
+        upto = running_totals(sums, order, {n: s for n, s in zip(left, names, strict=True)}).join(F.broadcast(asked), ["tree", "node", "f"])
+        before, rest = [F.col(n) - F.col("before")[k] for k, n in enumerate(left)], [F.col("whole")[k] + F.col("before")[k] - F.col(n) for k, n in enumerate(left)]
+        whole = [F.col("whole")[k] for k in range(width)]
+        n, nl, nr = (one._size_column(p) for p in (whole, before, rest))
+        gain = F.round(one._impurity_column(whole) - nl / n * one._impurity_column(before) - nr / n * one._impurity_column(rest), 12)
+        fit = upto.where((nl >= one.min_samples_leaf) & (nr >= one.min_samples_leaf) & (nr > 1e-9)).select("tree", "node", "f", "v", F.array(*before).alias("left"), gain.alias("gain")).where(F.col("gain") > one.min_gain)
+        best = fit.groupBy("tree", "node").agg(F.max_by(F.struct("f", "v", "left", "gain"), F.struct("gain", -F.col("f"), -F.col("v"))).alias("b")).select("tree", "node", "b.*")
+        best = cut(best)  # a row for each open node
+        after = sums.join(F.broadcast(best.select("tree", "node", "f", F.col("v").alias("at"))), ["tree", "node", "f"]).where("v > at").groupBy("tree", "node").agg(F.min("v").alias("next"))
+        splits, level = [], []
+        for r in best.join(after, ["tree", "node"]).collect():
+            k, i, t = r["tree"], r["node"], trees[r["tree"]]
+            threshold = (r["v"] + r["next"]) / 2 if max_bins is None else r["v"]
+            stats = np.array(t.nodes[i]["stats"])
+            t.nodes[i] |= {"feature": columns[r["f"]], "threshold": threshold, "gain": r["gain"]}
+            t.nodes[2 * i], t.nodes[2 * i + 1] = {"stats": list(r["left"])}, {"stats": (stats - np.array(r["left"])).tolist()}
+            level += [(k, 2 * i), (k, 2 * i + 1)]
+            splits.append((k, i, r["f"], threshold))
+        if not splits:
+            return
+        goes = spark.createDataFrame(splits, "tree int, node long, f int, threshold double")
+        at = at.join(F.broadcast(goes), ["tree", "node"]).select("tree", (F.col("node") * 2 + F.when(F.col("x")[F.col("f")] <= F.col("threshold"), 0).otherwise(1)).alias("node"), "x", "s")
 
 
 @dataclass
@@ -36,17 +100,26 @@ class DecisionTree:
     min_samples_split: int = 2
     min_samples_leaf: int = 1
     min_gain: float = 1e-7
-    max_bins: int = 64
+    max_bins: int | None = None
     max_features: int | None = None
     seed: int = 0
     columns: list[str] = field(default_factory=list)
     classes: list = field(default_factory=list)
     nodes: dict[int, dict] = field(default_factory=dict)
 
-    def _stats(self, y: str, w: Column) -> list[Column]:
-        if self.task == "classification":
-            return [F.sum(F.when(F.col(y) == F.lit(c), w).otherwise(0.0)) for c in self.classes]
-        return [F.sum(w), F.sum(w * F.col(y)), F.sum(w * F.col(y) * F.col(y))]
+    def _size_column(self, s: list[Column]) -> Column:
+        return s[0] if self.task == "regression" else total(s)
+
+    def _impurity_column(self, s: list[Column]) -> Column:
+        n = self._size_column(s)
+        if self.task == "regression":
+            return F.greatest(F.lit(0.0), F.try_divide(s[2], n) - F.try_divide(s[1], n) * F.try_divide(s[1], n))
+        shares = [F.greatest(F.lit(0.0), F.try_divide(v, n)) for v in s]
+        if self.criterion == "gini":
+            return 1 - total([p * p for p in shares])
+        if self.criterion == "entropy":
+            return -total([F.when(p > 0, p * F.log2(p)).otherwise(0.0) for p in shares])
+        return 1 - (F.greatest(*shares) if len(shares) > 1 else shares[0])
 
     def _impurity(self, s: np.ndarray) -> float:
         n = self._size(s)
@@ -60,53 +133,11 @@ class DecisionTree:
     def _size(self, s: np.ndarray) -> float:
         return float(s[0] if self.task == "regression" else s.sum())
 
-    def fit(self, df: DataFrame, columns: list[str], y: str, weight: str | None = None, cuts: dict[str, list[float]] | None = None, classes: list | None = None) -> DecisionTree:
-        self.columns, rng = columns, np.random.default_rng(self.seed)
-        w = F.col(weight) if weight else F.lit(1.0)
+    def fit(self, df: DataFrame, columns: list[str], y: str, weight: str | None = None, classes: list | None = None) -> DecisionTree:
         rows = df.dropna(subset=[*columns, y])
         if self.task == "classification":
             self.classes = classes or [r[0] for r in rows.select(y).distinct().orderBy(y).collect()]
-        cuts = cuts or _cut_values(rows, columns, self.max_bins)
-        bins = {c: total([F.when(F.col(c).cast("double") > F.lit(t), 1).otherwise(0) for t in v]) if v else F.lit(0) for c, v in cuts.items()}
-        binned = rows.select(y, w.alias("__w"), *(bins[c].alias(f"b{k}") for k, c in enumerate(columns))).persist()
-        root = np.array([v or 0.0 for v in binned.agg(*self._stats(y, F.col("__w"))).first()], float)
-        self.nodes = {1: {"stats": root.tolist()}}
-        level, node = [1], F.lit(1)
-        for _ in range(self.max_depth):
-            open_ = [i for i in level if self._size(np.array(self.nodes[i]["stats"])) >= self.min_samples_split and self._impurity(np.array(self.nodes[i]["stats"])) > 0]
-            if not open_:
-                break
-            at = binned.withColumn("node", node).where(F.col("node").isin(open_))
-            long = at.select("node", y, "__w", F.explode(F.array(*(F.struct(F.lit(k).alias("f"), F.col(f"b{k}").alias("b")) for k in range(len(columns))))).alias("x"))
-            got = long.groupBy("node", "x.f", "x.b").agg(*(s.alias(f"s{k}") for k, s in enumerate(self._stats(y, F.col("__w"))))).collect()
-            table: dict[tuple[int, int], dict[int, np.ndarray]] = {}
-            width = len(root)
-            for r in got:
-                table.setdefault((r["node"], r["f"]), {})[r["b"]] = np.array([r[f"s{k}"] for k in range(width)])
-            level = []
-            for i in open_:
-                whole = np.array(self.nodes[i]["stats"])
-                n, base = self._size(whole), self._impurity(whole)
-                best = (self.min_gain, None)
-                chosen = range(len(columns)) if not self.max_features else sorted(rng.choice(len(columns), min(self.max_features, len(columns)), replace=False))
-                for f in chosen:
-                    left = np.zeros(width)
-                    held = table.get((i, f), {})
-                    for b, t in enumerate(cuts[columns[f]]):
-                        left = left + held.get(b, 0.0)
-                        nl = self._size(left)
-                        if min(nl, n - nl) < self.min_samples_leaf or b not in held:
-                            continue
-                        gain = base - nl / n * self._impurity(left) - (n - nl) / n * self._impurity(whole - left)
-                        if gain > best[0] + 1e-15:
-                            best = (gain, (f, b, t, left.copy()))
-                if best[1]:
-                    f, b, t, left = best[1]
-                    self.nodes[i] |= {"feature": columns[f], "threshold": t, "bin": b, "gain": best[0]}
-                    self.nodes[2 * i], self.nodes[2 * i + 1] = {"stats": left.tolist()}, {"stats": (whole - left).tolist()}
-                    level += [2 * i, 2 * i + 1]
-            node = self._route(lambda d: F.col(f"b{columns.index(d['feature'])}") <= F.lit(d["bin"]))
-        binned.unpersist()
+        grow([self], rows, columns, y, [F.col(weight).cast("double") if weight else F.lit(1.0)], self.max_bins)
         return self
 
     def _route(self, goes_left, i: int = 1) -> Column:
@@ -181,7 +212,7 @@ class RandomForest:
     warm_start: bool = False
     oob: bool = False
     seed: int = 0
-    max_bins: int = 32
+    max_bins: int | None = None
     trees: list[DecisionTree] = field(default_factory=list)
     oob_score: float | None = None
 
@@ -197,7 +228,6 @@ class RandomForest:
 
     def fit(self, df: DataFrame, columns: list[str], y: str, id_col: str) -> RandomForest:
         rows = df.dropna(subset=[*columns, y]).persist()
-        cuts = _cut_values(rows, columns, self.max_bins)
         classes = [r[0] for r in rows.select(y).distinct().orderBy(y).collect()] if self.task == "classification" else None
         balance = F.lit(1.0)
         if self.class_weight == "balanced":
@@ -207,10 +237,11 @@ class RandomForest:
         features = self.max_features or max(1, int(math.sqrt(p)) if self.task == "classification" else p // 3)
         if not self.warm_start:
             self.trees = []
-        for k in range(len(self.trees), self.n_estimators):
-            drawn = rows.withColumn("__bw", self._weight(k, id_col) * balance).where("__bw > 0")
-            tree = DecisionTree(self.task, "gini", self.max_depth, max_features=features, seed=self.seed * 1000 + k, max_bins=self.max_bins)
-            self.trees.append(tree.fit(drawn, columns, y, "__bw", cuts, classes))
+        new = range(len(self.trees), self.n_estimators)
+        made = [DecisionTree(self.task, "gini", self.max_depth, max_features=features, seed=self.seed * 1000 + k, classes=classes or []) for k in new]
+        if made:
+            grow(made, rows, columns, y, [self._weight(k, id_col) * balance for k in new], self.max_bins)
+        self.trees += made
         if self.oob:
             self.oob_score = self._oob(rows, y, id_col)
         rows.unpersist()
@@ -227,16 +258,44 @@ class RandomForest:
         votes = [total([F.when(o & (t.prediction() == F.lit(c)), 1.0).otherwise(0.0) for o, t in zip(out, self.trees, strict=True)]) for c in self.trees[0].classes]
         return rows.where(n > 0).withColumn("__p", _winner(votes, self.trees[0].classes)).agg(F.avg(F.when(F.col("__p") == F.col(y), 1.0).otherwise(0.0))).first()[0]
 
+    def _each(self, df: DataFrame, of_leaf, kind: str) -> Column:
+        """Mean over the trees of what of_leaf(tree, node) gives (an array of numbers), in Arrow batches: the trees are broadcast, as
+        an expression of all of them would be beyond what can be compiled."""
+        columns, tables = self.trees[0].columns, []
+        for t in self.trees:
+            number = {i: k for k, i in enumerate(t.nodes)}
+            inner = [("feature" in d) for d in t.nodes.values()]
+            tables.append((
+                np.array([columns.index(d["feature"]) if x else -1 for d, x in zip(t.nodes.values(), inner, strict=True)]), np.array([d.get("threshold", 0.0) for d in t.nodes.values()]),
+                np.array([number[2 * i] if x else k for k, (i, x) in enumerate(zip(t.nodes, inner, strict=True))]), np.array([of_leaf(t, i) for i in t.nodes], float),
+            ))
+        shared = df.sparkSession.sparkContext.broadcast(tables)
+
+        @F.pandas_udf(kind)
+        def mean(*series: pd.Series) -> pd.Series:
+            x, out = np.stack([v.to_numpy(float) for v in series], 1), 0.0
+            for feature, threshold, left, value in shared.value:
+                at = np.zeros(len(x), np.int64)
+                while len(who := np.flatnonzero(feature[at] >= 0)):
+                    n = at[who]
+                    at[who] = left[n] + ~(x[who, feature[n]] <= threshold[n])
+                out = out + value[at]
+            return pd.Series(list(out / len(shared.value)))
+
+        return mean(*(F.col(c).cast("double") for c in columns))
+
     def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
-        each = [t.prediction() for t in self.trees]
         if self.task == "regression":
-            return df.withColumn(output, total(each) / F.lit(float(len(each))))
-        votes = [total([F.when(e == F.lit(c), 1.0).otherwise(0.0) for e in each]) for c in self.trees[0].classes]
-        return df.withColumn(output, _winner(votes, self.trees[0].classes))
+            return df.withColumn(output, self._each(df, lambda t, i: t._value(i), "double"))
+        votes = self._each(df, lambda t, i: np.eye(len(t.classes))[int(np.argmax(t._value(i)))], "array<double>")
+        classes = self.trees[0].classes
+        held = df.withColumn("__votes", votes)
+        return held.withColumn(output, _winner([F.col("__votes")[k] for k in range(len(classes))], classes)).drop("__votes")
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
-        shares = [t.shares() for t in self.trees]
-        return df.withColumns({f"p_{c}": total([s[k] for s in shares]) / F.lit(float(len(shares))) for k, c in enumerate(self.trees[0].classes)})
+        classes = self.trees[0].classes
+        held = df.withColumn("__shares", self._each(df, lambda t, i: t._value(i), "array<double>"))
+        return held.withColumns({f"p_{c}": F.col("__shares")[k] for k, c in enumerate(classes)}).drop("__shares")
 
     def feature_importances(self) -> dict[str, float]:
         """Shares of the numbers of splits."""

@@ -291,7 +291,7 @@ def outliers_lof(spark, sf_dir):
 @query()
 def outliers_isolation_forest(spark, sf_dir):
     rows = _t(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
-    return outliers.isolation_forest(rows, ["c_acctbal", "c_nationkey"], "c_custkey", n_estimators=25).select("c_custkey", "score", "label")
+    return outliers.isolation_forest(rows, ["c_acctbal", "c_nationkey"], "c_custkey").select("c_custkey", "score", "label")
 
 
 # Splits
@@ -552,7 +552,7 @@ def regression_stump(spark, sf_dir):
 @query()
 def random_forest(spark, sf_dir):
     rows = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", (F.col("o_custkey") % 17).alias("c"))
-    m = trees.RandomForest(n_estimators=3, max_depth=3).fit(rows, ["o_totalprice", "c"], "o_orderstatus", "o_orderkey")
+    m = trees.RandomForest().fit(rows, ["o_totalprice", "c"], "o_orderstatus", "o_orderkey")
     return m.predict(rows).select("o_orderkey", "prediction")
 
 
@@ -574,8 +574,8 @@ def pca_scores(spark, sf_dir):
 
 @query()
 def lda_predictions(spark, sf_dir):
-    rows = _t(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(8)))
-    return ordination.LDA().fit(rows, [f"e{k}" for k in range(8)], "label").predict(rows).select("vec_id", "prediction")
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(64)))
+    return ordination.LDA().fit(rows, [f"e{k}" for k in range(64)], "label").predict(rows).select("vec_id", "prediction")
 
 
 @query("SELECT round(abs(corr(l_quantity, l_extendedprice)), 8) AS correlation FROM lineitem")

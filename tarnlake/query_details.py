@@ -11,11 +11,13 @@ from .functions import distributions as dist
 from .functions import expressions as ex
 from .functions import special as sp
 from .functions.formula import parse_formula
-from .operators import cluster, composition, families, glm, interpret, linalg, metrics, neighbours, optimize, ordination, outliers, plotdata, prepare, smooth, splits, tests, trees
+from .operators import cluster, composition, estimator, families, glm, interpret, linalg, metrics, neighbours, optimize, ordination, outliers, plotdata, prepare, smooth, splits, tests, trees
 from .plans import pipeline
 from .plans.recipe import recipe
 from .queries import _r, _t
+from .session import shared_folder
 from .sources import persistence, tables
+from .streaming import apply_to_stream
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -964,3 +966,71 @@ def outliers_forest_scores(spark, sf_dir):
     row = m.predict(s).agg(F.count("*"), F.min("score"), F.max("score"), F.sum(F.when(F.col("label") == -1, 1).otherwise(0))).first()
     assert abs(outliers.average_path_length(256) - 10.2448) < 1e-3
     return spark.createDataFrame([(row[0], -1 <= row[1] <= row[2] <= 0, row[3] <= 0.1 * row[0])], "n bigint, all_scored boolean, threshold boolean")
+
+
+# Estimators, training and streams
+
+
+@query("SELECT 'Regressor' AS kind, true AS fitted, round(regr_r2(p_retailprice, p_size), 8) AS score, true AS refused, true AS small FROM part")
+def estimator_regressor(spark, sf_dir):
+    rows = _t(spark, sf_dir, "part").select("p_size", "p_retailprice")
+    e = estimator.Regressor(lambda df, columns, y, **o: glm.fit_lm(df, y, columns, **o))
+    try:
+        e.predict(rows)
+        refused = False
+    except RuntimeError:
+        refused = True
+    e.set_params(max_iter=20).fit(rows, ["p_size"], "p_retailprice")
+    s = e.state()
+    assert e.get_params() == {"max_iter": 20} and not e.has_warnings() and "<table>" in e._repr_html_()
+    return spark.createDataFrame([(s["kind"], s["fitted"], round(e.score(rows), 8), refused, 0 < s["memory"] < 100_000)], "kind string, fitted boolean, score double, refused boolean, small boolean")
+
+
+@query("SELECT round(sum(m) / sum(n), 8)::DOUBLE AS score FROM (SELECT max(k) AS m, sum(k) AS n FROM (SELECT l_returnflag = 'N' AS f, count(*) AS k FROM lineitem GROUP BY 1, l_linestatus) GROUP BY f)")
+def estimator_classifier(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select("l_linestatus", F.when(F.col("l_returnflag") == "N", 1.0).otherwise(0.0).alias("n"))
+    e = estimator.Classifier(lambda df, columns, y, **o: trees.DecisionTree(**o).fit(df, columns, y), max_depth=2).fit(rows, ["n"], "l_linestatus")
+    return _rows(spark, "score double", [(e.score(rows),)], 8)
+
+
+@query("SELECT p_partkey, round((p_size - a) / d, 6) + 0.0 AS x FROM part, (SELECT avg(p_size) AS a, stddev_pop(p_size) AS d FROM part)")
+def estimator_transformer(spark, sf_dir):
+    rows = _t(spark, sf_dir, "part").select("p_partkey", "p_size")
+    out = estimator.Transformer(lambda df, columns, y: prepare.StandardScaler().fit(df, columns)).fit_transform(rows, ["p_size"])
+    return out.select("p_partkey", _r("p_size").alias("x"))
+
+
+def _squares(params, x, y):
+    away = params[0] + x @ params[1:] - y
+    return (away**2).sum(), 2 * np.concatenate([[away.sum()], x.T @ away])
+
+
+@query("SELECT round(regr_intercept(y, x), 2) + 0.0 AS intercept, round(regr_slope(y, x), 2) + 0.0 AS slope FROM (SELECT (p_size - 25) / 15.0 AS x, (p_retailprice - 1000) / 300 AS y FROM part)")
+def training_loop(spark, sf_dir):
+    rows = _t(spark, sf_dir, "part").select("p_partkey", ((F.col("p_size") - 25) / 15.0).alias("x"), ((F.col("p_retailprice") - 1000) / 300).alias("y"))
+    r = optimize.train(_squares, rows, ["x"], "y", "p_partkey", np.zeros(2), optimize.GradientDescent(rate=0.4), 40)
+    return _rows(spark, "intercept double, slope double", [r["params"].tolist()], 2)
+
+
+@query(f"WITH {_STATUS} SELECT p.c, round(ln(p.a / f.a), 5) + 0.0 AS intercept FROM p, (SELECT a FROM p WHERE c = 'F') f WHERE p.c != 'F'")
+def glm_exclusive_targets(spark, sf_dir):
+    rows = _status(spark, sf_dir)
+    wide = rows.select("h", *(F.when(F.col("c") == v, 1.0).otherwise(0.0).alias(v) for v in "FOP"))
+    (m,) = glm.GLM("binomial").fit(wide, y=["F", "O", "P"], columns=["h"]).models.values()
+    return _rows(spark, "c string, intercept double", [(c, float(b[0])) for c, b in zip(m.classes[1:], np.asarray(m.coefficients).reshape(len(m.classes) - 1, -1), strict=True)], 5)
+
+
+@query("SELECT count(*) AS n, true AS in_range, true AS integers, true AS even, true AS repeatable FROM customer")
+def random_values(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").select("c_custkey", splits.random_numbers("c_custkey", 3).alias("u"), splits.random_numbers("c_custkey", 3).alias("v"), splits.random_integers("c_custkey", 2, 5, 3).alias("k"))
+    r = c.agg(F.count("*"), F.min("u"), F.max("u"), F.avg("u"), F.min("k"), F.max("k"), F.max(F.abs(F.col("u") - F.col("v")))).first()
+    return spark.createDataFrame([(r[0], r[1] >= 0 and r[2] < 1, (r[4], r[5]) == (2, 4), abs(r[3] - 0.5) < 0.05, r[6] == 0)], "n bigint, in_range boolean, integers boolean, even boolean, repeatable boolean")
+
+
+@query("SELECT s_suppkey, round((s_acctbal - a) / d, 6) + 0.0 AS balance FROM supplier, (SELECT avg(s_acctbal) AS a, stddev_pop(s_acctbal) AS d FROM supplier)")
+def stream_transform(spark, sf_dir):
+    fitted = prepare.StandardScaler().fit(_t(spark, sf_dir, "supplier"), ["s_acctbal"])
+    schema, at = _t(spark, sf_dir, "supplier").schema, shared_folder(spark, "stream")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "supplier.parquet").parquet(sf_dir)
+    apply_to_stream(stream, fitted.transform, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema(schema).parquet(f"{at}/out").select("s_suppkey", _r("s_acctbal").alias("balance"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -27,14 +28,24 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(at))
 
 
+def _shared(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only a local session may go without that setting."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if at is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="tarnlake-checkpoint-")
+    return at.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A folder of its own that driver and executors share."""
+    return f"{_shared(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint of df in spark.checkpoint.dir; only a local session may go without that setting."""
+    """A checkpoint of df in spark.checkpoint.dir."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if at is None:
-            if not context.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            at = tempfile.mkdtemp(prefix="tarnlake-checkpoint-")
-        context.setCheckpointDir(at)
+        context.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint(eager=True)
