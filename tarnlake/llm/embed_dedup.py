@@ -29,6 +29,8 @@ from .components import connected_components, min_labels
 SAMPLE, CELL, PIVOTS = 4096, 1024, 256
 #: Vectors of a block at least and at most, its bytes at most, and blocks of all vectors at least.
 LEAST_BLOCK, BLOCK, BLOCK_BYTES, BLOCKS = 64, 4096, 8 << 20, 64
+#: Pairs of blocks of a task, about.
+TASK_PAIRS = 64
 #: How far a single-precision product may be off; nearer to the threshold, double precision decides.
 SINGLE_MARGIN = 1e-4
 
@@ -169,7 +171,8 @@ def _join_blocks(folder: str, pivots, threshold: float, reach: float):
                     held = first, load(first)
                 other = held[1] if second == first else load(second)
                 if i != j:
-                    guest = _margins(other[2], pivots.value, j)[:, i] <= reach + 1e-9
+                    away = pivots.value[j] - pivots.value[i]
+                    guest = other[2] @ (away / max(float(np.sqrt(away @ away)), 1e-12)) <= reach + 1e-9
                     other = tuple(v[guest] for v in other)
                 rep, n, root = join(held[1], other, second == first)
                 if len(rep):
@@ -240,7 +243,7 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.9, vec_col: str =
     across = a.join(guests, (F.col("a_dim") == F.col("b_dim")) & (F.col("a_cell") == F.col("visit")))
     named = [F.col("a_name").alias("a"), F.col("b_name").alias("b"), F.col("a_cell").alias("i"), F.col("b_cell").alias("j")]
     meet = stash.save(within.select(*named).union(across.select(*named)), "meet")
-    tasks = max(1, min(-(-meet.count() // 8), 64 * partitions(spark)))
+    tasks = max(1, min(-(-meet.count() // TASK_PAIRS), 64 * partitions(spark)))
     dealt = meet.repartition(tasks, "a", F.pmod(F.xxhash64("b"), F.lit(16))).sortWithinPartitions("a", "b")
     links = stash.save(dealt.mapInArrow(_join_blocks(f"{stash.path}/vectors", pivots, threshold, reach), "rep long, n long, root long"), "links")
     stash.drop("vectors", "meet")
