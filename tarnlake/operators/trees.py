@@ -36,14 +36,14 @@ def _binned(df: DataFrame, columns: list[str], max_bins: int | None) -> list[Col
     return [up(c, own) for c, own in zip(x, edges, strict=True)]
 
 
-def grow(trees: list[DecisionTree], df: DataFrame, columns: list[str], y: str, weights: list[Column], max_bins: int | None) -> None:
-    """Grows trees of one kind on the rows of df, each with its own weights; rows of no weight take no part."""
+def grow(trees: list[DecisionTree], df: DataFrame, columns: list[str], y: str, weights: Column, max_bins: int | None) -> None:
+    """Grows trees of one kind on the rows of df; weights is an array with a row's weight in each tree, and rows of no weight take no part."""
     spark, one = df.sparkSession, trees[0]
     rng = [np.random.default_rng(t.seed) for t in trees]
     width = len(one.classes) if one.task == "classification" else 3
     target = F.col(y).cast("double")
     own = [F.when(F.col(y) == F.lit(c), 1.0).otherwise(0.0) for c in one.classes] if one.task == "classification" else [F.lit(1.0), target, target * target]
-    rows = df.select(F.array(*_binned(df, columns, max_bins)).alias("x"), F.array(*own).alias("s"), F.posexplode(F.array(*weights)).alias("tree", "w")).where("w > 0")
+    rows = df.select(F.array(*_binned(df, columns, max_bins)).alias("x"), F.array(*own).alias("s"), F.posexplode(weights).alias("tree", "w")).where("w > 0")
     at = rows.select("tree", F.lit(1).cast("long").alias("node"), "x", F.transform("s", lambda v: v * F.col("w")).alias("s"))
     roots = {r["tree"]: [r[f"s{k}"] for k in range(width)] for r in at.groupBy("tree").agg(*(F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(width))).collect()}
     for k, t in enumerate(trees):
@@ -137,7 +137,7 @@ class DecisionTree:
         rows = df.dropna(subset=[*columns, y])
         if self.task == "classification":
             self.classes = classes or [r[0] for r in rows.select(y).distinct().orderBy(y).collect()]
-        grow([self], rows, columns, y, [F.col(weight).cast("double") if weight else F.lit(1.0)], self.max_bins)
+        grow([self], rows, columns, y, F.array(F.col(weight).cast("double") if weight else F.lit(1.0)), self.max_bins)
         return self
 
     def _route(self, goes_left, i: int = 1) -> Column:
@@ -216,9 +216,9 @@ class RandomForest:
     trees: list[DecisionTree] = field(default_factory=list)
     oob_score: float | None = None
 
-    def _weight(self, k: int, id_col: str) -> Column:
+    def _weight(self, k: int | Column, id_col: str) -> Column:
         """Poisson(1) counts from a hash of the id: number of Poisson quantiles below a uniform number."""
-        u = (F.pmod(F.xxhash64(F.lit(self.seed), F.lit(k), id_col), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30))
+        u = (F.pmod(F.xxhash64(F.lit(self.seed), k if isinstance(k, Column) else F.lit(k), id_col), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30))
         steps, p, acc = [], math.exp(-1), 0.0
         for j in range(1, 9):
             acc += p
@@ -240,7 +240,7 @@ class RandomForest:
         new = range(len(self.trees), self.n_estimators)
         made = [DecisionTree(self.task, "gini", self.max_depth, max_features=features, seed=self.seed * 1000 + k, classes=classes or []) for k in new]
         if made:
-            grow(made, rows, columns, y, [self._weight(k, id_col) * balance for k in new], self.max_bins)
+            grow(made, rows, columns, y, F.transform(F.array(*(F.lit(k) for k in new)), lambda k: self._weight(k, id_col) * balance), self.max_bins)
         self.trees += made
         if self.oob:
             self.oob_score = self._oob(rows, y, id_col)

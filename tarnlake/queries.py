@@ -552,7 +552,7 @@ def regression_stump(spark, sf_dir):
 @query()
 def random_forest(spark, sf_dir):
     rows = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", (F.col("o_custkey") % 17).alias("c"))
-    m = trees.RandomForest().fit(rows, ["o_totalprice", "c"], "o_orderstatus", "o_orderkey")
+    m = trees.RandomForest(n_estimators=10, max_depth=4).fit(rows, ["o_totalprice", "c"], "o_orderstatus", "o_orderkey")
     return m.predict(rows).select("o_orderkey", "prediction")
 
 
