@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,6 +46,9 @@ class Stash:
         self.spark = spark
         for each in self.made:
             each.append(self)
+        # Plans, broadcasts and tables of former work are let go before new work begins: the driver's memory is small.
+        gc.collect()
+        spark._jvm.System.gc()
         self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         small_batches(spark)
 

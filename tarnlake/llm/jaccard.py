@@ -331,8 +331,11 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     total = classes.agg(F.sum("n")).first()[0] or 0
     bits = min(30, (max(2 * partitions(spark), total // 4 // BUCKET_POSTINGS) - 1).bit_length())  # 2^50 postings and more
     hot = hot_classes(classes)
-    ties = rows.where("key is not null").mapInArrow(_postings(shared, bits, id_filter(hot, "c1"), id_filter(hot, "rep")), "bucket int, blob binary").groupBy("bucket").applyInPandas(_tie, "u long, v long")
+    filters = id_filter(hot, "c1"), id_filter(hot, "rep")
+    ties = rows.where("key is not null").mapInArrow(_postings(shared, bits, *filters), "bucket int, blob binary").groupBy("bucket").applyInPandas(_tie, "u long, v long")
     groups = connected_components(ties, stash, "ties").select(F.col("node").alias("c1"), F.col("component").alias("g"))
+    for each in (shared, *filters):  # what they served is written
+        each.unpersist()
     members = stash.save(classes.drop("copies").join(groups, "c1"), "members")
     sizes = members.groupBy("g").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
     blocks = F.greatest(F.ceil(F.col("docs") / GROUP_DOCS), F.ceil(F.col("total") / GROUP_SHINGLES)).cast("int")
