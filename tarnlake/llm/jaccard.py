@@ -1,12 +1,15 @@
 """Exact Jaccard join of documents on word shingles, with components of the links.
 
 Equal sets are one class. Classes meet through a prefix index: of each set the rarest shingles (by a sketch of fixed size,
-ties by hash, so that any sketch gives one order) are sent to buckets of the hash space, as arrays, and a reduce task ties
-the classes of one list by size, in linear work. Components of these ties are candidate groups: links never leave a group.
+ties by hash, so that any sketch gives one order) are sent to buckets of the hash space, as arrays. Prefixes are so long that
+linked sets meet in many lists (least_hits), while sets that share a few shingles by chance, of which there are the more the
+larger the table and the fuller the sketch, do not: a class that meets others in fewer lists is dropped, and then those that
+met too few of the rest. Two classes are tied if they meet often enough in short lists; those of a long list are tied by size,
+in linear work. Components of these ties are candidate groups: links never leave a group.
 
 Groups are joined by T-occurrence search: a set needs 75 % of its shingles in common, so its longest inverted lists are set
-aside (DivideSkip), the short ones are merged on a heap that skips ahead, and what reaches the reduced count is probed in the
-long lists by binary search. A large group is cut into blocks; each block is searched within itself and against a few
+aside (DivideSkip), the short ones are merged on a heap that skips ahead (or counted in one pass if they are so long that there is
+little to skip), and what reaches the reduced count is probed in the long lists. A large group is cut into blocks; each block is searched within itself and against a few
 pivots of the group. If that ties the whole group together, nothing is left to do, whatever its size. Otherwise pairs of
 blocks that hold different parts are searched too, so that no link is missed. Pairs already tied are not probed.
 """
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkern as tk
-from .blobs import cut_points, from_five, from_short, pack_arrays, to_five, to_short, unpack_arrays
+from .blobs import cut_points, from_five, from_short, pack_arrays, sum_by, to_five, to_short, unpack_arrays
 from .common import Stash, partitions, small_batches
 from .components import connected_components, min_labels
 from .idfilter import id_filter, members, rows_by_filter
@@ -39,6 +42,10 @@ SKETCH_BITS, SKETCH_PARTS = 22, 64
 BUCKET_POSTINGS, FLUSH_POSTINGS = 1 << 20, 1 << 21
 #: Documents and shingles of a group that one task searches; pivots of a larger group.
 GROUP_DOCS, GROUP_SHINGLES, PIVOTS = 96, 2_000_000, 4
+#: Documents and shingles of a block that meets other blocks of its group: what is read grows with the square of their number.
+CROSS_DOCS, CROSS_SHINGLES = 768, 1_000_000
+#: Entries of a set's short lists from which they are counted in one pass instead of merged on the heap.
+SCAN_ENTRIES = 512
 #: Bytes of a shingle's hash in a group: 48 bits tell the shingles of one task apart.
 SHINGLE_BYTES = 6
 #: DivideSkip's weight of the logarithm of the longest list: the larger, the fewer lists are set aside.
@@ -46,6 +53,12 @@ SKIP_WEIGHT = 0.0085
 #: Copies from which a class sends only its representative's prefix, at least; classes of that kind at most (a filter of fixed size
 #: knows them), by which the number of copies goes up in a table with more.
 HOT_COPIES, HOT_CLASSES = 64, 1 << 22
+#: A prefix has one shingle more for each so many of its set; how often classes that meet too few others are dropped; classes
+#: whose meetings a task gathers before it sends them.
+HIT_SHARE, HIT_ROUNDS, FLUSH_CLASSES = 12, 2, 1 << 20
+#: Postings of a list up to which its pairs are counted (longer ones tie their classes at the first meeting), and postings of lists that
+#: are counted at once, about.
+PAIR_LIST, PAIR_POSTINGS = 32, 1 << 17
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +120,14 @@ def _merge_sketch(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def prefix_sizes(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles by which a set of size n finds smaller or equal ones, and those by which it is found by larger or equal ones."""
-    return n - (3 * n + 3) // 4 + 1, n - (6 * n + 6) // 7 + 1
+    """Shingles by which a set of size n finds smaller or equal ones, and those by which it is found by larger or equal ones. Linked
+    sets of which the smaller has size b share 1 + b // HIT_SHARE of these at least: so many more than a common one needs are taken."""
+    return np.minimum(n, n - (3 * n + 3) // 4 + 1 + n // HIT_SHARE), np.minimum(n, n - (6 * n + 6) // 7 + 1 + n // HIT_SHARE)
+
+
+def least_hits(n):
+    """Lists in which a set of size n meets others, at least, if it has a link: the smaller set of a link has 3/4 of n or more."""
+    return 1 + (3 * n + 3) // 4 // HIT_SHARE
 
 
 def hot_classes(classes: DataFrame) -> DataFrame:
@@ -166,30 +185,128 @@ def _postings(sketch, bits: int, hot, reps):
     return run
 
 
-def tie_lists(h: np.ndarray, c: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ties between classes of one list: each with the next smaller one that can be found by it. All pairs of a list that may link are connected by ties."""
+def sorted_lists(h: np.ndarray, c: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings of the lists of two and more, each class once, by list, size and class."""
     order = np.argsort(h, kind="stable")
     h, c, mark = h[order], c[order], mark[order]
     same = h[1:] == h[:-1]
-    multi = np.append(same, False) | np.append(False, same)
+    multi = np.append(same, False) | np.append(False, same) if len(h) else np.zeros(0, bool)
     h, c, mark = h[multi], c[multi], mark[multi]
     order = np.lexsort((mark & 1 ^ 1, c, mark >> 1, h))
     h, c, mark = h[order], c[order], mark[order].astype(np.int64)
+    new = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])) if len(h) else np.zeros(0, bool)
+    return h[new], c[new], mark[new]
+
+
+def _found_by(h: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted_lists whose list has a smaller set that may be found by them, and the place of the next smaller one. All pairs
+    of a list that may link are connected by these ties."""
     size = mark >> 1
     found = np.where(mark & 1, np.arange(len(h)), -1)
     before = np.append(-1, np.maximum.accumulate(found)[:-1]) if len(h) else found
     ok = np.flatnonzero(before >= 0)
-    ok = ok[(h[before[ok]] == h[ok]) & (4 * size[before[ok]] >= 3 * size[ok]) & (c[before[ok]] != c[ok])]
-    return c[before[ok]], c[ok]
+    ok = ok[(h[before[ok]] == h[ok]) & (4 * size[before[ok]] >= 3 * size[ok])]
+    return ok, before[ok]
 
 
-def _tie(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+def hit_postings(h: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Which postings of sorted_lists meet a set that they may find or be found by."""
+    hit = np.zeros(len(h), bool)
+    hit[_found_by(h, mark)[0]] = True
+    size = mark >> 1
+    hit[:-1] |= (mark[:-1] & 1).astype(bool) & (h[1:] == h[:-1]) & (4 * size[:-1] >= 3 * size[1:])
+    return hit
+
+
+def _meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The postings of a bucket that meet others."""
     parts = [unpack_arrays(x) for x in pdf["blob"]]
-    u, v = tie_lists(np.concatenate([from_five(p[0]) for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
-    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    label = min_labels(len(nodes), at[: len(u)], at[len(u) :])
-    away = np.flatnonzero(label != np.arange(len(nodes)))
-    return pd.DataFrame({"u": nodes[away], "v": nodes[label[away]]})
+    h, c, mark = sorted_lists(np.concatenate([from_five(p[0]) for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
+    hit = hit_postings(h, mark)
+    return pd.DataFrame({"blob": [pack_arrays(to_five(h[hit]), c[hit], mark[hit].astype(np.uint32))]})
+
+
+def _alive(blob: bytes, filters: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings of the classes that all filters take for members."""
+    h, c, mark = unpack_arrays(blob)
+    keep = np.ones(len(c), bool)
+    for each in filters:
+        keep &= members(each.value, c)
+    return from_five(h)[keep], c[keep], mark[keep]
+
+
+def _hits(filters: list):
+    """How many postings of each class meet others that are left, and the class's size; a class may have several rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def send():
+            c, hits, size = sum_by(*(np.concatenate([x[k] for x in held]) for k in range(3)))
+            return c, hits, size
+
+        for batch in batches:
+            for blob in batch.column("blob"):
+                h, c, mark = sorted_lists(*_alive(blob.as_py(), filters))
+                hit = hit_postings(h, mark)
+                c, n = c[hit], mark[hit] >> 1
+                held.append((c, np.ones(len(c), np.int64), n))
+                if sum(len(x[0]) for x in held) > FLUSH_CLASSES:
+                    yield _hit_rows(*send())
+                    held = []
+        if held:
+            yield _hit_rows(*send())
+
+    return run
+
+
+def _hit_rows(c: np.ndarray, hits: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c), pa.array(hits), pa.array(sizes // np.maximum(hits, 1))], ["c1", "hits", "n"])
+
+
+def list_pairs(h: np.ndarray, c: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of classes that stand in one of these sorted_lists and may link: in how many lists they meet, and in how many they meet at
+    least if they do link."""
+    size, low, high = mark >> 1, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, min(PAIR_LIST, len(h))):
+        at = np.flatnonzero((h[d:] == h[:-d]) & (mark[:-d] & 1).astype(bool) & (4 * size[:-d] >= 3 * size[d:]))
+        low.append(at)
+        high.append(at + d)
+    low, high = np.concatenate(low), np.concatenate(high)
+    nodes, which = np.unique(c, return_inverse=True)
+    _, one, times = np.unique(which[low] * len(nodes) + which[high], return_index=True, return_counts=True)
+    low, high = low[one], high[one]
+    return np.minimum(c[low], c[high]), np.maximum(c[low], c[high]), times, 1 + size[low] // HIT_SHARE
+
+
+def _tie(filters: list):
+    """Ties of the classes that are left. Pairs of short lists come with their meetings; long lists give a forest, as pairs that need none."""
+
+    def rows(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["u", "v", "times", "least"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("blob"):
+                h, c, mark = sorted_lists(*_alive(blob.as_py(), filters))
+                if not len(h):
+                    continue
+                begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                count = np.diff(np.append(begin, len(h)))
+                long = np.repeat(count > PAIR_LIST, count)
+                short = np.flatnonzero(~long)
+                cut = np.searchsorted(short, np.append(begin, len(h)))  # the lists' first short postings
+                pieces = np.unique(cut[np.searchsorted(cut, np.append(np.arange(0, len(short), PAIR_POSTINGS), len(short)))])
+                for a, b in zip(pieces[:-1], pieces[1:], strict=True):
+                    yield rows(*list_pairs(h[short[a:b]], c[short[a:b]], mark[short[a:b]]))
+                ok, before = _found_by(h[long], mark[long])
+                u, v = c[long][before], c[long][ok]
+                nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+                label = min_labels(len(nodes), at[: len(u)], at[len(u) :])
+                away = np.flatnonzero(label != np.arange(len(nodes)))
+                yield rows(nodes[label[away]], nodes[away], np.zeros(len(away), np.int64), np.zeros(len(away), np.int64))
+
+    return run
 
 
 class Ties:
@@ -247,10 +364,15 @@ def t_occurrence_links(sets: list[np.ndarray], part: list[int] | None = None) ->
     Sets with equal part are known to be tied already."""
     order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
     sizes = [len(sets[k]) for k in order]
+    size = np.array(sizes, np.int64)
     flat = np.concatenate([sets[k] for k in order]) if sets else np.zeros(0, U64)
     tokens, ids, times = np.unique(flat, return_inverse=True, return_counts=True)
     common = times > 1
-    ties, links, lists = Ties(len(order)), [], [[] for _ in range(len(tokens))]
+    # All lists in one array; of each, the entries up to fill are those of the sets before x.
+    lists = np.repeat(np.arange(len(order)), size)[np.argsort(ids, kind="stable")]
+    first, fill = np.cumsum(times) - times, np.zeros(len(tokens), np.int64)
+    entries = lambda some: lists[tk.repeat_index(first[some], fill[some])]
+    ties, links = Ties(len(order)), []
     if part is not None:
         seen: dict[int, int] = {}
         for x, k in enumerate(order):
@@ -259,32 +381,44 @@ def t_occurrence_links(sets: list[np.ndarray], part: list[int] | None = None) ->
     for x, n in enumerate(sizes):
         own = ids[at : at + n]
         at += n
-        own = own[common[own]].tolist()
+        own = own[common[own]]
         need = (3 * n + 3) // 4
         low = bisect_left(sizes, -(-3 * n // 4))
         if len(own) >= need > 0:
-            mine = sorted((lists[t] for t in own if lists[t] and lists[t][-1] >= low), key=len)
+            mine = own[fill[own] > 0]
+            mine = mine[lists[first[mine] + fill[mine] - 1] >= low]
             if len(mine) >= need:
+                mine = mine[np.argsort(fill[mine], kind="stable")]
                 # DivideSkip: the longest lists are only probed; how many these are follows from their lengths.
-                aside = min(need - 1, long_lists(need, len(mine[-1])))
+                aside = min(need - 1, long_lists(need, int(fill[mine[-1]])))
                 short, long = mine[: len(mine) - aside], mine[len(mine) - aside :]
-                for y, count in merge_skip(short, [bisect_left(s, low) for s in short], need - aside).items():
-                    if ties.root(x) == ties.root(y):
-                        continue
-                    # 100 * overlap >= 75 * union
-                    goal = -(-3 * (n + sizes[y]) // 7)
-                    left = len(long)
-                    for s in long:
-                        if count + left < goal or count >= goal:
-                            break
-                        left -= 1
-                        p = bisect_left(s, y)
-                        count += p < len(s) and s[p] == y
-                    if count >= goal:
+                if fill[short].sum() > SCAN_ENTRIES:
+                    # Lists this long have most sets in common and leave little to skip: they are counted as they stand.
+                    count = np.bincount(entries(short), minlength=x)
+                    maybe = low + np.flatnonzero(count[low:] >= need - aside)
+                    count = count[maybe]
+                else:
+                    ours = [lists[f : f + k].tolist() for f, k in zip(first[short].tolist(), fill[short].tolist(), strict=True)]
+                    merged = merge_skip(ours, [bisect_left(s, low) for s in ours], need - aside)
+                    maybe, count = np.array(list(merged), np.int64), np.array(list(merged.values()), np.int64)
+                root = ties.root(x)
+                apart = np.array([ties.root(y) != root for y in maybe.tolist()], bool)
+                maybe, count = maybe[apart], count[apart]
+                # 100 * overlap >= 75 * union
+                goal = -(-3 * (n + size[maybe]) // 7)
+                able = count + len(long) >= goal
+                maybe, count, goal = maybe[able], count[able], goal[able]
+                if len(maybe) * 8 > x:
+                    count = count + np.bincount(entries(long), minlength=x)[maybe]
+                elif len(maybe):
+                    for f, k in zip(first[long].tolist(), fill[long].tolist(), strict=True):
+                        p = f + np.minimum(np.searchsorted(lists[f : f + k], maybe), k - 1)
+                        count = count + (lists[p] == maybe)
+                for y in maybe[count >= goal].tolist():
+                    if ties.root(x) != ties.root(y):
                         ties.tie(x, y)
                         links.append((order[x], order[y]))
-        for t in own:
-            lists[t].append(x)
+        fill[own] += 1
     return links
 
 
@@ -329,12 +463,21 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     shared = spark.sparkContext.broadcast(sketch)  # of fixed size
 
     total = classes.agg(F.sum("n")).first()[0] or 0
-    bits = min(30, (max(2 * partitions(spark), total // 4 // BUCKET_POSTINGS) - 1).bit_length())  # 2^50 postings and more
+    bits = min(30, (max(2 * partitions(spark), total // 3 // BUCKET_POSTINGS) - 1).bit_length())  # 2^50 postings and more
     hot = hot_classes(classes)
     filters = id_filter(hot, "c1"), id_filter(hot, "rep")
-    ties = rows.where("key is not null").mapInArrow(_postings(shared, bits, *filters), "bucket int, blob binary").groupBy("bucket").applyInPandas(_tie, "u long, v long")
-    groups = connected_components(ties, stash, "ties").select(F.col("node").alias("c1"), F.col("component").alias("g"))
-    for each in (shared, *filters):  # what they served is written
+    postings = rows.where("key is not null").mapInArrow(_postings(shared, bits, *filters), "bucket int, blob binary")
+    meet = stash.save(postings.groupBy("bucket").applyInPandas(_meet, "blob binary"), "meet")
+    alive: list = []
+    for k in range(HIT_ROUNDS):
+        hits = meet.mapInArrow(_hits(alive), "c1 long, hits long, n long").groupBy("c1").agg(F.sum("hits").alias("hits"), F.max("n").alias("n"))
+        # least_hits() of a column, by whole numbers
+        least = F.expr(f"1 + ((3 * n + 3) div 4) div {HIT_SHARE}")
+        alive.append(id_filter(stash.save(hits.where(F.col("hits") >= least).select("c1"), f"alive-{k}"), "c1"))
+    pairs = meet.mapInArrow(_tie(alive), "u long, v long, times long, least long").groupBy("u", "v").agg(F.sum("times").alias("times"), F.min("least").alias("least"))
+    groups = connected_components(pairs.where("times >= least").select("u", "v"), stash, "ties").select(F.col("node").alias("c1"), F.col("component").alias("g"))
+    stash.drop("meet", *(f"alive-{k}" for k in range(HIT_ROUNDS)))
+    for each in (shared, *filters, *alive):  # what they served is written
         each.unpersist()
     members = stash.save(classes.drop("copies").join(groups, "c1"), "members")
     sizes = members.groupBy("g").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
@@ -364,10 +507,10 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     state = stash.save(state.join(mixed, "g", "left_semi"), "mixed")
     if not state.isEmpty():
         part_size = state.groupBy("g", "part").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
-        cut = F.greatest(F.ceil(F.col("docs") / GROUP_DOCS * 2), F.ceil(F.col("total") / GROUP_SHINGLES * 2))
+        cut = F.greatest(F.ceil(F.col("docs") / CROSS_DOCS), F.ceil(F.col("total") / CROSS_SHINGLES))
         # Small parts share blocks, by bands of sizes; a large part has blocks of its own.
-        part_size = stash.save(part_size.select("g", "part", cut.alias("own"), "docs"), "part_size")
-        pool = part_size.where("own <= 1").groupBy("g").agg(F.ceil(F.sum("docs") / GROUP_DOCS * 2).alias("pool"))
+        part_size = stash.save(part_size.select("g", "part", cut.alias("own"), "docs", "total"), "part_size")
+        pool = part_size.where("own <= 1").groupBy("g").agg(F.greatest(F.ceil(F.sum("docs") / CROSS_DOCS), F.ceil(F.sum("total") / CROSS_SHINGLES)).alias("pool"))
         placed = state.join(part_size.select("g", "part", "own"), ["g", "part"]).join(pool, "g", "left")
         one = F.when(F.col("own") > 1, F.struct(F.col("part").alias("p"), F.pmod(F.xxhash64("rep"), F.col("own")).alias("b"))).otherwise(F.struct(F.lit(None).cast("long").alias("p"), F.pmod(F.xxhash64("part"), F.col("pool")).alias("b")))
         placed = stash.save(placed.select("g", "rep", "n", "part", one.alias("block")), "placed")
