@@ -4,14 +4,19 @@ Words are known by 64-bit hashes. Counts are postings in buckets of the hash spa
 one reduce task a bucket and written as sorted arrays under the shared folder. A bucket of bigrams is chosen by the
 context's hash; the few contexts that alone would fill a good part of a bucket are dealt by the hash of the whole bigram,
 and their sums are put together afterwards. Scoring looks up each chunk's distinct tokens and bigrams by binary search in
-mapped files, so a worker holds no more of the model than the pages it touches.
+mapped files, one for each bucket and kind, so a worker holds no more of the model than the pages it touches.
 
 In bigrams, words count as equal if the upper 40 bits of their hashes are; single counts use all 64 bits.
 """
 
 from __future__ import annotations
 
+import json
+import mmap
+import struct
+import sys
 import tempfile
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,6 +34,8 @@ U64 = np.uint64
 END, START = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 #: Bytes of training text for each bucket, about; tokens that a map task gathers before it sends them; hot contexts at most.
 BUCKET_BYTES, FLUSH_TOKENS, HOT_WORDS = 16 << 20, 1_500_000, 1024
+#: Files that a worker holds mapped at once (Linux lets a process have 65,530 maps); those used last stay.
+MAPPED_FILES = 16_384
 
 
 def token_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,8 +94,28 @@ def _count_words(bits: int):
 
 
 def _store(folder: str, name: str, *arrays: np.ndarray) -> None:
-    for k, a in enumerate(arrays):
-        put_file(folder, f"{name}.{k}", np.ascontiguousarray(a).tobytes())
+    """Arrays as one file: the length of a head, the head with their kinds and lengths, and each from a multiple of eight bytes on."""
+    head = json.dumps([[a.dtype.str, len(a)] for a in arrays]).encode()
+    parts = [struct.pack("<Q", len(head)), head, bytes(-len(head) % 8)]
+    for a in arrays:
+        data = np.ascontiguousarray(a).tobytes()
+        parts += [data, bytes(-len(data) % 8)]
+    put_file(folder, name, parts)
+
+
+def _stored(held: mmap.mmap) -> list[np.ndarray]:
+    """The arrays of a file of _store(), as views."""
+    size = struct.unpack_from("<Q", held)[0]
+    at, out = 8 + size + -size % 8, []
+    for kind, n in json.loads(held[8 : 8 + size]):
+        out.append(np.frombuffer(held, np.dtype(kind), n, at))
+        at += out[-1].nbytes + -out[-1].nbytes % 8
+    return out
+
+
+def _mapped(f) -> mmap.mmap:
+    """A file's bytes; where Python can, without holding a descriptor."""
+    return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {}))
 
 
 def _sum_words(folder: str):
@@ -205,47 +232,44 @@ class KneserNey:
     end_rest: float
     hot: np.ndarray
     hot_sums: np.ndarray
-    maps: dict = field(default_factory=dict)
+    maps: OrderedDict = field(default_factory=OrderedDict)
 
     def __getstate__(self):
-        return self.__dict__ | {"maps": {}}
+        return self.__dict__ | {"maps": OrderedDict()}
+
+    def _map(self, name: str) -> list[np.ndarray] | None:
+        """Arrays of a file, mapped from the shared folder (copied first if that is no mounted folder); None if there is none."""
+        if name in self.maps:
+            self.maps.move_to_end(name)
+            return self.maps[name]
+        fs, folder = open_folder(self.folder)
+        path, out = f"{folder}/{name}", None
+        if fs.get_file_info(path).type.name != "NotFound":
+            if fs.type_name == "local":
+                with open(path, "rb") as f:
+                    out = _stored(_mapped(f))
+            else:
+                with fs.open_input_stream(path) as f, tempfile.TemporaryFile() as copy:
+                    while block := f.read(1 << 22):
+                        copy.write(block)
+                    copy.flush()
+                    out = _stored(_mapped(copy))
+        self.maps[name] = out
+        if len(self.maps) > MAPPED_FILES:
+            self.maps.popitem(last=False)
+        return out
 
-    def _map(self, name: str, kinds: tuple[str, ...]) -> list[np.ndarray] | None:
-        """Arrays of a file group, mapped from the shared folder (copied first if that is no mounted folder); None if there is none."""
-        if name not in self.maps:
-            fs, folder = open_folder(self.folder)
-            out = []
-            for k, kind in enumerate(kinds):
-                path = f"{folder}/{name}.{k}"
-                info = fs.get_file_info(path)
-                if info.type.name == "NotFound":
-                    out = None
-                    break
-                if not info.size:
-                    out.append(np.zeros(0, kind))
-                    continue
-                if fs.type_name == "local":
-                    out.append(np.memmap(path, np.dtype(kind), "r"))
-                else:
-                    with fs.open_input_stream(path) as f, tempfile.TemporaryFile() as copy:
-                        while block := f.read(1 << 22):
-                            copy.write(block)
-                        copy.flush()
-                        out.append(np.memmap(copy, np.dtype(kind), "r"))
-            self.maps[name] = out
-        return self.maps[name]
-
-    def _look(self, group: str, kinds: tuple[str, ...], key: np.ndarray, bucket: np.ndarray, width: int) -> np.ndarray:
+    def _look(self, group: str, key: np.ndarray, bucket: np.ndarray, width: int) -> np.ndarray:
         """Counts of sorted keys, 0 where there are none. Single-byte counts have their large values apart."""
         out = np.zeros((len(key), width), np.int64)
         for k, a, b in cut_points(bucket):
-            held = self._map(f"{group}-{k}", kinds)
+            held = self._map(f"{group}-{k}")
             if not held or not len(held[0]):
                 continue
             at = np.minimum(np.searchsorted(held[0], key[a:b]), len(held[0]) - 1)
             hit = np.flatnonzero(held[0][at] == key[a:b])
             at = at[hit]
-            if len(kinds) == 2:
+            if len(held) == 2:
                 out[a + hit, 0] = held[1][at]
                 continue
             for c in range(width):
@@ -258,21 +282,21 @@ class KneserNey:
         return out
 
     def word_counts(self, h: np.ndarray) -> np.ndarray:
-        return self._look("words", ("<u8", "<i8"), h, bucket_of(h, self.bits), 1)[:, 0]
+        return self._look("words", h, bucket_of(h, self.bits), 1)[:, 0]
 
-    def _short(self, group: str, kinds: tuple[str, ...], h: np.ndarray, width: int) -> np.ndarray:
-        return self._look(group, kinds, h, (h >> U64(40 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64), width)
+    def _short(self, group: str, h: np.ndarray, width: int) -> np.ndarray:
+        return self._look(group, h, (h >> U64(40 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64), width)
 
     def word_probabilities(self, word: np.ndarray) -> np.ndarray:
         """Lower order: of sorted 40-bit words, by the number of words they follow."""
-        n = self._short("ends", ("<u8", "u1", "<i8", "<i8"), word, 1)[:, 0]
+        n = self._short("ends", word, 1)[:, 0]
         floor = 1 / (self.distinct + 1)
         if not self.end_total:
             return np.full(len(word), floor)
         return (np.maximum(0, n - self.end_discount[np.minimum(n, 3)])) / self.end_total + self.end_rest / self.end_total * floor
 
     def context_sums(self, context: np.ndarray) -> np.ndarray:
-        out = self._short("contexts", ("<u8", *("u1", "<i8", "<i8") * 4), context, 4)
+        out = self._short("contexts", context, 4)
         if len(self.hot):
             place = np.minimum(np.searchsorted(self.hot, context), len(self.hot) - 1)
             own = self.hot[place] == context
@@ -287,7 +311,7 @@ class KneserNey:
         g = g[order]
         new = np.append(True, g[1:] != g[:-1])
         one = order[new]
-        n = self._look("pairs", ("<u8", "u1", "<i8", "<i8"), g[new], bucket[one], 1)[:, 0]
+        n = self._look("pairs", g[new], bucket[one], 1)[:, 0]
         words, w_at = np.unique(word[one], return_inverse=True)
         ctx, c_at = np.unique(context[one], return_inverse=True)
         low = self.word_probabilities(words)[w_at]

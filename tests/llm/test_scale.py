@@ -1,12 +1,13 @@
 """What large tables do to the text operators, on small ones: full sketches, many near copies, many files."""
 
+import os
+
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 pytest.importorskip("tarnlake.llm")
 
-from tarnlake.llm import common, jaccard  # noqa: E402
+from tarnlake.llm import common, jaccard, kneser_ney  # noqa: E402
 
 
 def shingle_sets(texts):
@@ -99,3 +100,23 @@ def test_linked_sets_meet_often_enough():
         meet = set(sorted(x, key=order.get)[: probe[0]]) & set(sorted(y, key=order.get)[: index[1]])
         assert len(meet) >= 1 + b // jaccard.HIT_SHARE >= jaccard.least_hits(b)
         assert len(meet) >= jaccard.least_hits(a)
+
+
+def test_a_model_of_many_buckets_holds_few_files(spark, monkeypatch):
+    """Looking up all buckets leaves no descriptor open, and a worker that may map few files gives the same scores."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(" ".join(f"w{x}" for x in rng.integers(0, 400, 60)),) for _ in range(40)], "text string")
+    monkeypatch.setattr(kneser_ney, "BUCKET_BYTES", 200)
+    stash = common.Stash(spark, "many-buckets")
+    model = kneser_ney.fit_kneser_ney(df, stash)
+    text = " ".join(f"w{x}" for x in range(400)).encode()
+    h, first = kneser_ney.token_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    before = len(os.listdir("/proc/self/fd"))
+    scores = model.score(h, first)
+    assert model.bits >= 5
+    assert len(os.listdir("/proc/self/fd")) <= before + 8
+    monkeypatch.setattr(kneser_ney, "MAPPED_FILES", 2, raising=False)
+    model.maps.clear()
+    assert np.array_equal(model.score(h, first), scores)
+    assert len(model.maps) <= 2
+    stash.close()
