@@ -28,12 +28,12 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = None
     for batch in batches:
         if bits is None:
-            bits = np.zeros(1 << FILTER_BITS, bool)
+            bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
         for at in _places(batch.column("id").to_numpy()):
-            bits[at] = True
+            np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
     if bits is not None:
         press = zstandard.ZstdCompressor(level=1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(FILTER_PARTS), pa.int32()), pa.array([press.compress(x.tobytes()) for x in np.split(np.packbits(bits), FILTER_PARTS)], pa.binary())], ["part", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(FILTER_PARTS), pa.int32()), pa.array([press.compress(x.tobytes()) for x in np.split(bits, FILTER_PARTS)], pa.binary())], ["part", "blob"])
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -39,7 +39,7 @@ SHINGLE = 5
 #: Counters of the sketch (4 bytes each), and parts that it is merged in.
 SKETCH_BITS, SKETCH_PARTS = 22, 64
 #: Postings of a bucket, about; postings that a map task gathers before it sends them.
-BUCKET_POSTINGS, FLUSH_POSTINGS = 1 << 20, 1 << 21
+BUCKET_POSTINGS, FLUSH_POSTINGS = 1 << 20, 1 << 20
 #: Documents and shingles of a group that one task searches; pivots of a larger group.
 GROUP_DOCS, GROUP_SHINGLES, PIVOTS = 96, 2_000_000, 4
 #: Documents and shingles of a block that meets other blocks of its group: what is read grows with the square of their number.
@@ -96,19 +96,20 @@ def class_hashes(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and at the end the partition's sketch of shingle frequencies in parts."""
     names = ["key", "n", "c1", "c2", "part", "blob"]
-    sketch, kind = np.zeros(1 << SKETCH_BITS, np.int64), None
+    sketch, kind = np.zeros(1 << SKETCH_BITS, np.uint32), None
     for batch in batches:
         kind = batch.schema.field("key").type
         for rows, buf, off in tk.text_chunks(batch, "text"):
             own = batch.slice(rows.start, rows.stop - rows.start)
             sets, first = shingle_sets(buf, off)
-            sketch += np.bincount((sets >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            place, n_place = np.unique((sets >> U64(64 - SKETCH_BITS)).astype(np.uint32), return_counts=True)
+            sketch[place] += np.minimum(n_place, np.uint32(2**32 - 1) - sketch[place]).astype(np.uint32)
             c1, c2 = class_hashes(sets, first)
             n = len(off) - 1
             yield pa.RecordBatch.from_arrays([own.column("key"), pa.array(np.diff(first)), pa.array(c1), pa.array(c2), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
     if kind is not None:
         press = zstandard.ZstdCompressor(level=1)
-        blobs = [press.compress(x.astype(np.uint32).tobytes()) for x in np.split(np.minimum(sketch, 2**32 - 1), SKETCH_PARTS)]
+        blobs = [press.compress(x.tobytes()) for x in np.split(sketch, SKETCH_PARTS)]
         k = len(blobs)
         yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(blobs, pa.binary())], names)
 
