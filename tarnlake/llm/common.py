@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import ClassVar
 from urllib.parse import urlparse
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch at most; the kernels cut batches further by bytes.
 BATCH_ROWS = 1024
+#: Seconds after which the executors of a relieved() piece of work collect their garbage again, when a table is to be written.
+RELIEF_SECONDS = 15
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -36,11 +43,32 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def let_go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In a worker: forgets the words that the encoder has met, and gives what is free back to the system."""
+    if (bpe := sys.modules.get(f"{__package__}.bpe")) is not None:
+        bpe.WORDS = bpe.WordStore()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim is not None:
+        trim(0)
+    yield from batches
+
+
+def relieve(spark: SparkSession) -> None:
+    """Has executors and their workers give back what former work has left: a heap grows with garbage and only a whole collection makes
+    it smaller, and workers keep the words they have met. There is a task for each core; who gets none stays as it is."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).mapInArrow(let_go, "id long").select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 class Stash:
     """Tables written once under the shared folder: they cut lineage and survive lost executors. They are needed until the result
     that reads them has been written; temporary() tells which ones a piece of work has made, and close() removes them."""
 
     made: ClassVar[list[list[Stash]]] = []
+    #: When the executors were relieved last; None outside of relieved().
+    relieved_at: ClassVar[float | None] = None
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
@@ -54,6 +82,9 @@ class Stash:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         at = f"{self.path}/{name}"
+        if Stash.relieved_at is not None and time.monotonic() - Stash.relieved_at > RELIEF_SECONDS:
+            relieve(self.spark)
+            Stash.relieved_at = time.monotonic()
         df.write.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
@@ -71,6 +102,20 @@ class Stash:
         self._remove(self.path)
 
 
+@contextmanager
+def relieved(spark: SparkSession) -> Iterator[None]:
+    """Relieves the executors before and after a piece of work, and every RELIEF_SECONDS or so within: for works that follow each other
+    in the same executors."""
+    relieve(spark)
+    outer, Stash.relieved_at = Stash.relieved_at, time.monotonic()
+    try:
+        yield
+    finally:
+        last, Stash.relieved_at = Stash.relieved_at, outer
+    if time.monotonic() - last > RELIEF_SECONDS:
+        relieve(spark)
+
+
 @contextmanager
 def temporary() -> Iterator[None]:
     """Removes, at the end, all tables that were made within."""

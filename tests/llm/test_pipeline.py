@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
-from tarnlake.llm import common, jaccard, langid, quality, secret_scan  # noqa: E402
+from tarnlake.llm import bpe, common, jaccard, langid, quality, secret_scan  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -129,3 +129,36 @@ def test_repeated_ids(spark):
     rows = [(1, text), (1, text), (2, "alpha beta gamma delta epsilon zeta eta"), (2, "red green blue white black brown grey"), (3, None), (3, None), (None, text), (4, text + " x"), (5, "")]
     out = pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
     assert sorted(map(tuple, out.collect()), key=str) == sorted([rows[0], *rows[2:7], rows[8]], key=str)
+
+
+def test_stages_relieve_executors(spark):
+    """What a stage has left in the heaps that tasks run in is collected before the next one, also by stages that make no table."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Young" not in b.getName() and "Concurrent" not in b.getName())
+    docs = spark.createDataFrame([(1, "one two three", "en", "s")], "doc_id long, text string, lang string, source string")
+    for name, stage in pipeline.STAGES:
+        if name in ("language", "secrets"):
+            before = whole()
+            stage(spark, docs, SF)
+            assert whole() > before, name
+
+
+def test_long_work_is_relieved_within(spark, monkeypatch):
+    """Between tables of a relieved piece of work too, once enough time has gone; other work is left alone."""
+    done = []
+    monkeypatch.setattr(common, "relieve", done.append)
+    monkeypatch.setattr(common, "RELIEF_SECONDS", 0)
+    common.Stash(spark, "alone").save(spark.range(2), "a")
+    assert not done
+    with common.relieved(spark):
+        stash = common.Stash(spark, "within")
+        assert stash.save(spark.range(2), "a").count() == 2 and stash.save(spark.range(3), "b").count() == 3
+        assert len(done) == 3
+    assert len(done) == 4 and common.Stash.relieved_at is None
+
+
+def test_workers_let_words_go():
+    bpe.WORDS._clear(1)
+    assert bpe.WORDS.key.nbytes == 8 << bpe.WordStore.BITS
+    assert list(common.let_go(iter([1, 2]))) == [1, 2]
+    assert bpe.WORDS.mark is None and not hasattr(bpe.WORDS, "key")
