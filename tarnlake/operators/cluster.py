@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import total
 from ..session import cut
-from .kernels import components, near_pairs, positions
+from .kernels import components, near_pairs, positions, previous, running_totals
 from .neighbours import BLOCK_ROWS, distance_sums, distance_sums_on_a_line, distances, nearest
 from .splits import sample_rows
 
@@ -265,6 +265,41 @@ class HCA:
         return f"{self.linkage} linkage of {len(self.ids)} rows, {len(self.merges)} merges"
 
 
+@dataclass
+class LineLinkage:
+    """Single linkage of one column, of any number of rows: neighbours in the order of value and id merge at the gap between them, so
+    the heights are the sorted gaps, and a cluster is what lies between two larger gaps. Missing values stand last, with no gap."""
+
+    rows: DataFrame | None = None
+
+    def fit(self, df: DataFrame, column: str, id_col: str) -> LineLinkage:
+        rows = df.select(F.col(id_col).alias("id"), F.col(column).cast("double").alias("v"))
+        gap = F.when(F.col("v").isNull(), 0.0).otherwise(F.col("v") - F.col("before"))
+        self.rows = cut(previous(rows, self._order(), "v", "before").select("id", "v", gap.alias("gap")))  # null for the first
+        return self
+
+    @staticmethod
+    def _order() -> list[Column]:
+        return [F.col("v").asc_nulls_last(), F.col("id")]
+
+    def heights(self) -> DataFrame:
+        """id, v and gap of each row but the first, and step: the place of its merge."""
+        return positions(self.rows.where(F.col("gap").isNotNull()), [F.col("gap"), F.col("id")], "step")
+
+    def _labels(self, rows: DataFrame, opens: Column) -> DataFrame:
+        parted = cut(running_totals(rows, self._order(), {"c": F.when(opens, 1).otherwise(0)}).select("id", "c"))
+        return parted.join(parted.groupBy("c").agg(F.min("id").alias("cluster")), "c").select("id", "cluster")
+
+    def cut(self, k: int) -> DataFrame:
+        """id, cluster (its least id) for k clusters."""
+        steps = self.heights().select("id", "v", "step").union(self.rows.where(F.col("gap").isNull()).select("id", "v", F.lit(None)))
+        return self._labels(steps, F.col("step") > self.rows.count() - k)
+
+    def cut_height(self, height: float) -> DataFrame:
+        """id, cluster (its least id) of merges up to height."""
+        return self._labels(self.rows, F.col("gap") > F.lit(float(height)))
+
+
 @dataclass
 class ConsensusCluster:
     """Rows that at least threshold of several labelings put together, and components of these ties. Noise (-1) is not counted."""
