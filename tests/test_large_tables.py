@@ -3,8 +3,11 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+import __spark_entry__ as registry
 from tarnlake.operators import cluster
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_single_linkage_of_one_column_takes_any_number_of_rows(spark):
     rng = np.random.default_rng(5)
@@ -23,3 +26,8 @@ def test_single_linkage_of_one_column_takes_any_number_of_rows(spark):
     many = spark.range(5500).select("id", (F.col("id") * F.col("id")).cast("double").alias("x"))  # HCA holds 5000 at most
     gaps = [r["gap"] for r in cluster.LineLinkage().fit(many, "x", "id").heights().orderBy("step").collect()]
     assert gaps == [2.0 * k + 1 for k in range(5499)]
+
+
+def test_heights_are_of_all_suppliers(spark):
+    n = spark.read.parquet(f"{SF}/supplier.parquet").count()
+    assert registry.queries()["hierarchy_heights"](spark, SF).count() == n - 1 and "s_nationkey" not in registry.oracle_sql()["hierarchy_heights"]
