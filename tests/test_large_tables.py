@@ -31,3 +31,10 @@ def test_single_linkage_of_one_column_takes_any_number_of_rows(spark):
 def test_heights_are_of_all_suppliers(spark):
     n = spark.read.parquet(f"{SF}/supplier.parquet").count()
     assert registry.queries()["hierarchy_heights"](spark, SF).count() == n - 1 and "s_nationkey" not in registry.oracle_sql()["hierarchy_heights"]
+
+
+def test_cut_of_more_than_5000_suppliers(spark, tmp_path):
+    gaps = F.col("id") + F.floor(F.col("id") / 1500) * 400  # four clusters
+    spark.range(6000).select(F.col("id").alias("s_suppkey"), F.lit(1).alias("s_nationkey"), gaps.cast("double").alias("s_acctbal")).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = registry.queries()["hierarchy_cut"](spark, str(tmp_path)).groupBy("first").count().orderBy("first").collect()
+    assert [tuple(r) for r in got] == [(k * 1500, 1500) for k in range(4)]
