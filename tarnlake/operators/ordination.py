@@ -74,7 +74,10 @@ class PCA(Saveable):
             mu = np.zeros(len(columns))
         sd = np.sqrt(np.diag(c) * (n - 1) / n) if self.scale and self.center else np.ones(len(columns))
         sd = np.where(sd > 0, sd, 1.0)
-        values, v = np.linalg.eigh(c / np.outer(sd, sd))
+        c = c / np.outer(sd, sd)
+        if self.scale and self.center:  # equal by definition: where columns hardly correlate, their last bits would turn the axes
+            np.fill_diagonal(c, np.where(np.diag(c) > 0, n / max(n - 1, 1), 0.0))
+        values, v = np.linalg.eigh(c)
         order = np.argsort(values)[::-1]
         self.n, self.mean, self.sd = n, mu.tolist(), sd.tolist()
         self.eigenvalues, self.vectors = np.maximum(0, values[order]).tolist(), fix_signs(v[:, order]).tolist()

@@ -1,10 +1,12 @@
 """What larger tables asked for: no bound on rows, every gain, forests in passes over sorted rows, exact sums."""
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
-from tarnlake.operators import cluster
+from tarnlake.operators import cluster, ordination
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +40,20 @@ def test_cut_of_more_than_5000_suppliers(spark, tmp_path):
     spark.range(6000).select(F.col("id").alias("s_suppkey"), F.lit(1).alias("s_nationkey"), gaps.cast("double").alias("s_acctbal")).write.parquet(f"{tmp_path}/supplier.parquet")
     got = registry.queries()["hierarchy_cut"](spark, str(tmp_path)).groupBy("first").count().orderBy("first").collect()
     assert [tuple(r) for r in got] == [(k * 1500, 1500) for k in range(4)]
+
+
+@pytest.mark.parametrize("name", ["pca_rotation"])
+def test_axes_of_a_negative_correlation(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{SF}/lineitem.parquet')")
+    assert con.execute("SELECT corr(l_quantity, l_extendedprice) FROM lineitem").fetchall()[0][0] < 0
+    got = sorted(tuple(r) for r in registry.queries()[name](spark, SF).collect())
+    assert got == sorted(con.execute(registry.oracle_sql()[name]).fetchall())
+
+
+def test_axes_of_columns_that_hardly_correlate(monkeypatch):
+    v1, v2 = 94.24, 127.57  # of which rounding makes unequal diagonals
+    tie = 1e-9 * np.sqrt(v1 * v2)
+    monkeypatch.setattr(ordination, "covariance", lambda df, columns: (1000, np.zeros(2), np.array([[v1, tie], [tie, v2]])))
+    m = ordination.PCA(True, True).fit(None, ["a", "b"])
+    assert np.abs(np.abs(m.vectors) - np.sqrt(0.5)).max() < 1e-15
