@@ -81,6 +81,7 @@ class Recipe:
                 new = [c for c in out.columns if c not in d.columns]
                 return out.drop(*used), [c for c in f if c not in used] + new
 
+            apply.model = model
             return apply
 
         return self._with(name, fit)

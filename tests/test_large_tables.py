@@ -42,7 +42,7 @@ def test_cut_of_more_than_5000_suppliers(spark, tmp_path):
     assert [tuple(r) for r in got] == [(k * 1500, 1500) for k in range(4)]
 
 
-@pytest.mark.parametrize("name", ["pca_rotation"])
+@pytest.mark.parametrize("name", ["pca_rotation", "recipe_pca"])
 def test_axes_of_a_negative_correlation(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{SF}/lineitem.parquet')")
