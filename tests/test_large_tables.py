@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
-from tarnlake.operators import cluster, ordination
+from tarnlake.operators import cluster, ordination, trees
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +57,12 @@ def test_axes_of_columns_that_hardly_correlate(monkeypatch):
     monkeypatch.setattr(ordination, "covariance", lambda df, columns: (1000, np.zeros(2), np.array([[v1, tie], [tie, v2]])))
     m = ordination.PCA(True, True).fit(None, ["a", "b"])
     assert np.abs(np.abs(m.vectors) - np.sqrt(0.5)).max() < 1e-15
+
+
+def test_a_tree_takes_the_least_gain_allowed(spark, tmp_path):
+    flags = spark.range(8000).select(F.lit(0).alias("l_orderkey"), F.lit(0).alias("l_linenumber"), F.lit(0).alias("l_partkey"), F.when(F.col("id") % 4 < 2, "R").otherwise("N").alias("l_returnflag"), F.when(F.col("id") % 2 == 1, "O").otherwise("F").alias("l_linestatus"))
+    flags.write.parquet(f"{tmp_path}/lineitem.parquet")  # both flags independent: nothing is gained
+    got = registry.queries()["tree_classifier"](spark, str(tmp_path)).orderBy("o").collect()
+    assert [tuple(r) for r in got] == [(0.0, 0.5, 0, 2, 2), (1.0, 0.5, 0, 3, 2)]
+    m = trees.DecisionTree(max_depth=1).fit(flags.select(F.col("l_linestatus").alias("y"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("r")), ["r"], "y")
+    assert m.split_counts() == {"r": 0}
