@@ -66,3 +66,26 @@ def test_a_tree_takes_the_least_gain_allowed(spark, tmp_path):
     assert [tuple(r) for r in got] == [(0.0, 0.5, 0, 2, 2), (1.0, 0.5, 0, 3, 2)]
     m = trees.DecisionTree(max_depth=1).fit(flags.select(F.col("l_linestatus").alias("y"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("r")), ["r"], "y")
     assert m.split_counts() == {"r": 0}
+
+
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_a_forest_of_sorted_chunks_is_that_of_sums_by_value(spark, monkeypatch, task):
+    x = [F.pmod(F.xxhash64(F.lit(j), "id"), F.lit(n)).cast("int") for j, n in enumerate((150, 7))]  # many ties, across chunks too
+    rows = spark.range(700).select("id", x[0].alias("a"), x[1].alias("b"), F.pmod(F.col("id") + x[0] * x[1], F.lit(3)).cast("int").alias("y")).persist()
+    grown = []
+    for columns in (0, 4):
+        monkeypatch.setattr(trees, "SORTED_COLUMNS", columns)
+        monkeypatch.setattr(trees, "CHUNK_ROWS", 50)
+        m = trees.RandomForest(task, n_estimators=3, max_depth=3, seed=4).fit(rows, ["a", "b"], "y", "id")
+        grown.append([{i: (d.get("feature"), d.get("threshold"), np.round(d["stats"], 6).tolist(), round(d.get("gain", 0.0), 9)) for i, d in t.nodes.items()} for t in m.trees])
+    assert grown[0] == grown[1] and all(len(t) > 3 for t in grown[0])
+
+
+def test_levels_of_a_forest_shuffle_nothing(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("sums by value are shuffled at every level")
+
+    monkeypatch.setattr(trees, "running_totals", refuse)
+    rows = spark.range(300).select("id", (F.col("id") % 50).alias("a"), (F.col("id") > 120).alias("y"))
+    m = trees.RandomForest(n_estimators=2, max_depth=2).fit(rows, ["a"], "y", "id")
+    assert m.predict(rows).count() == 300 and all(len(t.nodes) > 1 for t in m.trees)
